@@ -7,18 +7,26 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_counts
+from . import bpe, fingerprint, media, packing, token_counts
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_sensitivity(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), "text", RANKS, PATTERN)
     return token_counts.length_histogram(lengths)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_payloads(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", RANKS, PATTERN)
 
@@ -28,7 +36,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts, op9_bpe, op10_packing)}
+    return {f.__name__: f for f in (op3_fingerprint, op6_token_counts, op7_media, op9_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
