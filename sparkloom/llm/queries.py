@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, media, packing, token_counts
+from . import bpe, fingerprint, media, neardup, packing, token_counts
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,10 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_sensitivity(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), "text", RANKS, PATTERN)
     return token_counts.length_histogram(lengths)
@@ -36,7 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op6_token_counts, op7_media, op9_bpe, op10_packing)}
+    return {f.__name__: f for f in (op3_fingerprint, op4_near_dedup, op6_token_counts, op7_media, op9_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
