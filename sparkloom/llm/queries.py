@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, media, neardup, packing, token_counts
+from . import bpe, fingerprint, line_dedup, media, neardup, packing, token_counts
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,6 +32,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_payloads(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("kept_text").cast("long").alias("n_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", RANKS, PATTERN)
 
@@ -40,8 +46,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op4_near_dedup, op6_token_counts, op7_media, op9_bpe, op10_packing)}
+    return {f.__name__: f for f in (op3_fingerprint, op4_near_dedup, op6_token_counts, op7_media, op8_line_dedup, op9_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": line_dedup.oracle()}
