@@ -19,21 +19,24 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(new) for new, c in cols.items()])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The cluster names the folder in ``spark.checkpoint.dir``.  Only where that is
-    unset (tests on one machine) a folder of our own is made.
+    Only where that is unset (tests on one machine) a folder of our own is made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="sparkloom-shared-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
-def texts(batch, column: str = "text") -> list[str]:
-    """The strings of one Arrow column, null as the empty text."""
-    return [x if x is not None else "" for x in batch.column(column).to_pylist()]
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def groups(column, chars: int = 4_000_000) -> Iterator[list[str]]:

@@ -104,6 +104,12 @@ def drop_recurring_lines(df: DataFrame, id_col: str, text_col: str, min_texts: i
     return joined.where(some).select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
 
 
+def with_char_counts(df: DataFrame, text_col: str, count_col: str) -> DataFrame:
+    """``df`` with ``count_col``, where it has one, set to the code points of the text; its place and type stay."""
+    n = F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0))
+    return df.select(*[n.cast(f.dataType).alias(f.name) if f.name == count_col else F.col(f"`{f.name}`") for f in df.schema])
+
+
 def oracle(table: str = "documents", min_texts: int = MIN_TEXTS) -> str:
     """DuckDB SQL for (doc_id, n_lines, n_dropped, n_chars, kept_sha256)."""
     blank = " \\t\\r\\x0B\\f"

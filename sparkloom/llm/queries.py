@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, media, neardup, packing, token_counts
+from . import bpe, fingerprint, line_dedup, media, neardup, packing, token_counts, toxicity
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +23,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, "doc_id", "text", toxicity.fit(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "doc_id", "toxic"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), "text", RANKS, PATTERN)
     return token_counts.length_histogram(lengths)
@@ -46,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op4_near_dedup, op6_token_counts, op7_media, op8_line_dedup, op9_bpe, op10_packing)}
+    return {f.__name__: f for f in (op3_fingerprint, op4_near_dedup, op5_toxicity, op6_token_counts, op7_media, op8_line_dedup, op9_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
