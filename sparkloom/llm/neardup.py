@@ -11,12 +11,15 @@ fewer), as 64-bit hashes.  Documents with equal sets form one node.
   similarity with the concentration of independent samples.
 * Banding: ``BANDS`` bands of ``ROWS`` coordinates.  At similarity 0.75 a pair
   shares no band with probability (1 - 0.75**4)**32 = 5e-6, at 0.8 5e-8.
-* A bucket never emits all its pairs.  Its least node is compared with the
-  others; confirmed links are merged to components; what is left are members of
-  different components, and they are compared with ever more of the members,
-  until no bucket holds an untested pair across components.  Pairs whose sketches
-  agree in under ``AGREE`` coordinates (five standard deviations under 0.75) are
-  not looked at again; all others are confirmed on full sets.
+* A bucket first compares its least node with the others, and confirmed links are
+  merged to components.  A bucket whose members then are all in one component is
+  done.  Of the others, those of up to ``SMALL`` members pair what is still in
+  different components; larger ones are joined to clusters, cut into blocks of
+  about ``BLOCK`` nodes, and pairs of blocks are compared as matrices inside a
+  task that emits no more than a spanning set of links.
+* Pairs of the first two kinds whose sketches agree in under ``AGREE`` coordinates
+  (five standard deviations under 0.75) are not looked at again.  All others, and
+  all pairs of blocks, are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, groups, pick
@@ -35,8 +38,8 @@ from .common import cut_lineage, groups, pick
 SHINGLE = 5
 BINS, BANDS, ROWS = 128, 32, 4
 AGREE = 70
-#: Members of a bucket that are compared with all others in the round after the least one, growth a round, and a round's most.
-LEADERS, FASTER, MOST = 16, 8, 1000
+#: Most members of a bucket that emits pairs, and nodes of a block of a cluster.
+SMALL, BLOCK = 24, 256
 
 _U = np.uint64
 _M, _BLOCK = 0x9E3779B97F4A7C15 | 1, 1 << 20
@@ -215,6 +218,42 @@ def _confirm(x: bytes, y: bytes) -> bool:
     return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
 
 
+def _block_links(block: pa.Table) -> pa.Table:
+    """Links between the nodes of one block, or of two, that join different components: a spanning set."""
+    i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
+    own, nodes, roots = block.column("own").to_pylist(), block.column("node").to_pylist(), block.column("root").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in block.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    keep = count[at] > 1
+    row, at = row[keep], np.unique(at[keep], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    common, step = np.zeros((len(sets), len(sets)), np.float32), 4096
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, step):
+        a, b = np.searchsorted(at, (lo, lo + step))
+        x = np.zeros((len(sets), step), np.float32)
+        x[row[a:b], at[a:b] - lo] = 1
+        common += x @ x.T
+    linked = 100 * common >= 75 * (size[:, None] + size[None, :] - common)
+    parent: dict[bytes, bytes] = {}
+
+    def top(r: bytes) -> bytes:
+        while (up := parent.get(r, r)) != r:
+            r = up
+        return r
+
+    found = []
+    for p, q in zip(*np.nonzero(np.triu(linked, 1))):
+        if i == j or own[p] != own[q]:
+            a, b = top(roots[p]), top(roots[q])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                found.append((nodes[p], nodes[q]))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node that isn't its root, from links (a, b), by alternating stars.
 
@@ -260,36 +299,43 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = cut_lineage(spread.join(shared, "key").select("key", "node", "leader"))
     sketch = nodes.select("node", "sketch")
 
+    def sets_of(needed: DataFrame) -> DataFrame:
+        """(node, shingles) of these nodes, from their texts."""
+        ids = nodes.join(needed, "node", "left_semi").select(F.col("least").alias("want")).distinct()
+        rows = plain.join(ids, plain["doc_id"].eqNullSafe(ids["want"]), "left_semi")
+        return cut_lineage(_sets(rows).join(needed, "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles")))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that are links."""
         left, right = (sketch.select(F.col("node").alias(x), F.col("sketch").alias("s" + x)) for x in "ab")
         likely = cut_lineage(pairs.join(left, "a").join(right, "b").where(_pairs_udf(_agree, "sa", "sb")).select("a", "b"))
-        needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        ids = nodes.join(needed, "node", "left_semi").select(F.col("least").alias("want")).distinct()
-        rows = plain.join(ids, plain["doc_id"].eqNullSafe(ids["want"]), "left_semi")
-        sets = cut_lineage(_sets(rows).join(needed, "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles")))
+        sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
         left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias("s" + x)) for x in "ab")
         return cut_lineage(likely.join(left, "a").join(right, "b").where(_pairs_udf(_confirm, "sa", "sb")).select("a", "b"))
 
     star = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     roots = components(confirmed(star))
-    rest = members.where("node != leader").select("key", "node")
-    leaders = LEADERS
-    while True:
-        labelled = rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        rest = cut_lineage(labelled.join(mixed, "key", "left_semi"))
-        if rest.isEmpty():
-            break
-        # the least few of each bucket; each task passes on no more than that of its part
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        heads = cut_lineage(rest.select("key", F.col("node").alias("head"), rank.alias("rank")).where(F.col("rank") <= leaders).select("key", "head"))
-        heads_root = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select("key", "head", F.coalesce("root", "head").alias("head_root"))
-        pairs = rest.join(heads_root, "key").where("root != head_root").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
-        links = confirmed(pairs)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        rest = rest.select("key", "node").join(heads.withColumnRenamed("head", "node"), ["key", "node"], "left_anti")
-        leaders = min(leaders * FASTER, MOST)
+
+    labelled = members.join(roots, "node", "left").select("key", "node", "leader", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "n")
+    rest = cut_lineage(labelled.join(mixed, "key"))
+
+    few = rest.where((F.col("n") <= SMALL) & (F.col("node") != F.col("leader"))).select("key", "node", "root")
+    other = few.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    pairs = few.join(other, "key").where("node < other and root != other_root").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    links = confirmed(pairs)
+
+    many = cut_lineage(rest.where(F.col("n") > SMALL).select("key", "node", "leader", "root"))
+    if not many.isEmpty():
+        cluster = components(many.select(F.col("leader").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
+        inside = many.select("node", "root").distinct().join(cluster, "node", "left").select("node", "root", F.coalesce("cluster", "node").alias("cluster"))
+        size = inside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        placed = inside.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        placed = placed.join(sets_of(many.select("node").distinct()), "node")
+        dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "root", "shingles")
+        links = links.unionByName(cut_lineage(dealt.groupBy("cluster", "i", "j").applyInArrow(_block_links, "a binary, b binary")))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
     labelled = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
