@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, media, neardup, packing, token_counts, toxicity
+from . import bpe, fingerprint, html_extract, license_texts, licenses, line_dedup, media, neardup, packing, token_counts, toxicity
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"), "page_id", "html", keep=("url",))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text", license_texts.TEMPLATES)
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_sensitivity(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -51,7 +59,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op4_near_dedup, op5_toxicity, op6_token_counts, op7_media, op8_line_dedup, op9_bpe, op10_packing)}
+    every = (op1_main_text, op2_licenses, op3_fingerprint, op4_near_dedup, op5_toxicity, op6_token_counts, op7_media, op8_line_dedup, op9_bpe, op10_packing)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
