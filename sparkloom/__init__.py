@@ -1,0 +1 @@
+"""A Spark-native analytics engine over catalogs of related tables."""
