@@ -23,9 +23,14 @@ DEPTH, SIMILAR, MIN_TEXTS, MIN_TOKENS = 3, 0.75, 10, 3
 _BLANK = " \\t\\r\\x0B\\f"
 
 
+def _tidy(text: Column) -> Column:
+    """One space between tokens, none at the ends of lines; most texts are so already."""
+    spaced = F.regexp_replace(text, f"[{_BLANK}]+", " ")
+    return F.when(text.rlike("[\\t\\r\\x0B\\f]|  |^ | $|\\n | \\n"), F.regexp_replace(spaced, "^ | $|(?<=\\n) | (?=\\n)", "")).otherwise(text)
+
+
 def _masked(line: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(line, f"^[{_BLANK}]+|[{_BLANK}]+$", ""), f"[{_BLANK}]+", " ")
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
 
 
 def _key(*parts: Column) -> Column:
@@ -34,9 +39,10 @@ def _key(*parts: Column) -> Column:
 
 def _lines(plain: DataFrame) -> DataFrame:
     """(doc_id, text_key, at, masked, n) of every line that has enough tokens."""
-    rows = plain.select("doc_id", _key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = rows.select("doc_id", "text_key", "at", _masked(F.col("line")).alias("masked"))
-    return rows.withColumn("n", F.size(F.split("masked", " "))).where(F.col("n") >= MIN_TOKENS)
+    # what is computed below the explode is computed once for each text
+    rows = plain.select("doc_id", _key(F.col("text")).alias("text_key"), F.transform(F.split(_tidy(F.col("text")), "\n"), _masked).alias("all"))
+    rows = rows.select("doc_id", "text_key", F.posexplode("all").alias("at", "masked"))
+    return rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_TOKENS)
 
 
 def _leaf() -> Column:
