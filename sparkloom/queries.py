@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import CatalogError
 from .functions import keys
 from .operators import aggregate as agg
 from .operators import cascade, index, join, paging, ranges, write
 from .plans.predicate import Pred, Where
 from .plans.scan import Scan, project
-from .sources.catalog import Catalog, FamilySpec, IndexDef, TableSpec, parquet_reader
+from .sources.catalog import Catalog, FamilySpec, IndexDef, TableSpec, column_summary, parquet_reader
 from .sources.shared import scratch_folder
 from .streaming import upsert
 
@@ -227,6 +228,33 @@ def filter_bits(spark, sf_dir):
     return rows(spark, sf_dir, "customer").where(F.col("c_nationkey").bitwiseAND(5) == 5).select("c_custkey", "c_nationkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '^.....')  AND c_name >= 'C' AND c_name <= 'Customer#000000500'")
+def filter_inclusive_stop(spark, sf_dir):
+    """A fuzzy row (five characters of any kind) up to and including a stop key."""
+    where = Where(all_of=[Pred("c_name", ">=", "C"), Pred("c_name", "<=", "Customer#000000500")], matches={"c_name": "^....."})
+    return Scan(where, ["c_custkey"]).run(rows(spark, sf_dir, "customer"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < (SELECT min(n_nationkey) FROM nation WHERE NOT (n_regionkey < 4))")
+def filter_while_match(spark, sf_dir):
+    """Rows in key order up to the first that fails; one small aggregate finds it."""
+    nation = rows(spark, sf_dir, "nation")
+    stop = nation.where(~(F.col("n_regionkey") < 4)).agg(F.min("n_nationkey").alias("stop"))
+    return nation.join(stop, (F.col("n_nationkey") < F.col("stop")) | F.col("stop").isNull()).select("n_nationkey", "n_name")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus = 'P'")
+def filter_null(spark, sf_dir):
+    return rows(spark, sf_dir, "orders").where(F.col("o_orderstatus").isNull() | (F.col("o_orderstatus") == "P")).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_custkey, o_orderstatus FROM orders")
+def filter_column_page(spark, sf_dir):
+    """Columns by place: two after the first."""
+    orders = rows(spark, sf_dir, "orders")
+    return project(orders, orders.columns[1:3])
+
+
 # ---- joins
 
 
@@ -291,6 +319,13 @@ def join_cascade(spark, sf_dir):
     return nested.select("o_orderkey", F.size("lineitem").cast("bigint").alias("n_lines"))
 
 
+@query("SELECT s_suppkey AS s_s_suppkey, s_nationkey AS s_s_nationkey, n_nationkey AS n_n_nationkey, n_name AS n_n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def join_cleanup(spark, sf_dir):
+    """Nothing is shared between runs: a join's state ends with its stages."""
+    nation = join.JoinNode(rows(spark, sf_dir, "nation"), "n", ["n_name"])
+    return join.join_tree(join.JoinNode(rows(spark, sf_dir, "supplier"), "s", ["s_suppkey"]).join("s_nationkey", "n_nationkey", nation))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def join_index_semi(spark, sf_dir):
     return join.restrict_to(rows(spark, sf_dir, "documents").select("doc_id", "lang"), rows(spark, sf_dir, "labels"), "doc_id")
@@ -586,17 +621,42 @@ def index_lock(spark, sf_dir):
     return spark.createDataFrame([(f, ("shop", f) in catalog.locked) for f in ("orders", "customer")], "family string, locked boolean")
 
 
-@query("SELECT * FROM (VALUES ('log', 'events', 1), ('parts', 'part', 2)) t(table_name, main_family, families)")
-def ddl_create_drop_alter(spark, sf_dir):
+_PARTS = {"op": "ADDTB", "spec": TableSpec("parts", "part", {"part": FamilySpec("part", "part", "p_partkey")})}
+
+
+@query("SELECT * FROM (VALUES ('shop', 'customer', 3), ('log', 'events', 1), ('parts', 'part', 1)) t(table_name, main_family, families)")
+def ddl_create(spark, sf_dir):
+    """Creating a table twice changes nothing."""
+    return upsert.apply_metadata(shop(spark, sf_dir), [_PARTS, _PARTS]).list_tables(spark)
+
+
+@query("SELECT * FROM (VALUES ('log', 'events', 1)) t(table_name, main_family, families)")
+def ddl_drop(spark, sf_dir):
+    return upsert.apply_metadata(shop(spark, sf_dir), [{"op": "DROPTB", "table": "shop"}]).list_tables(spark)
+
+
+@query("SELECT * FROM (VALUES ('part'), ('supplier')) t(family)")
+def ddl_alter_family(spark, sf_dir):
+    add = lambda name, pk: {"op": "ADDCF", "table": "parts", "spec": FamilySpec(name, name, pk)}
+    events = [_PARTS, add("supplier", "s_suppkey"), add("nation", "n_nationkey"), {"op": "DROPCF", "table": "parts", "family": "nation"}]
+    return upsert.apply_metadata(shop(spark, sf_dir), events).describe(spark, "parts").select("family")
+
+
+@query("SELECT true AS refused, count(*) AS n FROM orders")
+def ddl_no_truncate(spark, sf_dir):
     catalog = shop(spark, sf_dir)
-    upsert.apply_metadata(catalog, [
-        {"op": "ADDTB", "spec": TableSpec("parts", "part", {"part": FamilySpec("part", "part", "p_partkey")})},
-        {"op": "ADDCF", "table": "parts", "spec": FamilySpec("supplier", "supplier", "s_suppkey")},
-        {"op": "ADDCF", "table": "parts", "spec": FamilySpec("nation", "nation", "n_nationkey")},
-        {"op": "DROPCF", "table": "parts", "family": "nation"},
-        {"op": "DROPTB", "table": "shop"},
-    ])
-    return catalog.list_tables(spark)
+    try:
+        catalog.truncate_table("shop")
+        refused = False
+    except CatalogError:
+        refused = True
+    return catalog.family_rows("shop", "orders").agg(F.count(F.lit(1)).alias("n")).select(F.lit(refused).alias("refused"), "n")
+
+
+@query("SELECT * FROM (VALUES (0, 'r_regionkey', 'int'), (1, 'r_name', 'string')) t(position, column_name, column_type)")
+def ddl_rest(spark, sf_dir):
+    """Descriptions are frames; there is no server."""
+    return column_summary(rows(spark, sf_dir, "region"))
 
 
 @query("SELECT concat('7_t_c_custkey::', lpad(cast(c_custkey AS VARCHAR), 12, '0'), '_c_mktsegment::', c_mktsegment) AS row_key FROM customer")
@@ -673,6 +733,23 @@ def stream_index_upsert(spark, sf_dir):
     return upsert.visible(target.state())
 
 
+@query(f"SELECT * FROM ({_EVENTS}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_batching(spark, sf_dir):
+    """Three files a batch; the state with its tombstones."""
+    folder = scratch_folder(spark, "stream")
+    changes = _change_stream(spark, sf_dir)
+    changes.repartition(6, "event_id").write.parquet(f"{folder}/in")
+    target = upsert.VersionedIndex(spark, f"{folder}/index", "user_id", ["ts", "event_id"])
+    target.start(upsert.read_changes(spark, f"{folder}/in", changes.schema, files_per_batch=3), f"{folder}/progress").awaitTermination()
+    return target.state()
+
+
+@query("SELECT * FROM (VALUES ('shop', 'customer', 3), ('parts', 'part', 2)) t(table_name, main_family, families)")
+def stream_ddl(spark, sf_dir):
+    more = {"op": "ADDCF", "table": "parts", "spec": FamilySpec("supplier", "supplier", "s_suppkey")}
+    return upsert.apply_metadata(shop(spark, sf_dir), [_PARTS, more, {"op": "DROPTB", "table": "log"}]).list_tables(spark)
+
+
 @query("SELECT * FROM (VALUES ('by_segment', 'c_mktsegment', '')) t(index_name, columns, order_by)")
 def stream_meta(spark, sf_dir):
     catalog = upsert.apply_metadata(shop(spark, sf_dir), [
