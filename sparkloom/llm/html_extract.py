@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 
 from .common import groups, pick
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*'|['"])*?)(/?)>""", re.S)
+#: Attributes are matched possessively, so no input makes the pattern backtrack.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(id|class|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -82,15 +84,19 @@ def parse(source: str) -> Page:
     """Block tree of HTML in any state: unclosed, misnested and unknown tags are fine."""
     page = Page()
     stack = [("#root", page.add("#root", -1))]
+    opened: Counter[str] = Counter()
     run: list[str] = []
     linked = anchors = in_link = 0
 
+    def above() -> int:
+        return stack[-1][1] if stack[-1][1] >= 0 else stack[-2][1]
+
     def flush() -> None:
         nonlocal linked, anchors
         if run:
             text = _SPACE.sub(" ", "".join(run)).strip()
             if text:
-                page.add("#text", next(n for _, n in reversed(stack) if n >= 0), "", text, min(linked, len(text)), anchors)
+                page.add("#text", above(), "", text, min(linked, len(text)), anchors)
             run.clear()
         linked = anchors = 0
 
@@ -100,6 +106,7 @@ def parse(source: str) -> Page:
             if node >= 0:
                 flush()
             in_link -= tag == "a"
+            opened[tag] -= 1
         del stack[depth:]
 
     at, end = 0, len(source)
@@ -117,7 +124,7 @@ def parse(source: str) -> Page:
         if m[2]:
             tag = m[2].lower()
             if tag in SILENT:
-                if not m[4]:
+                if not m[3].endswith("/"):
                     stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                     at = stop.end() if stop else end
                 run.append(" ")
@@ -126,25 +133,26 @@ def parse(source: str) -> Page:
                 if tag == "hr":
                     flush()
             else:
-                if tag in _ENDS:
-                    ends, stops = _ENDS[tag]
+                ends, stops = _ENDS.get(tag, ((), ()))
+                if any(opened[t] for t in ends):
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] in ends:
                             close(k)
                             break
                         if stack[k][0] in stops:
                             break
-                node = -1
                 if tag in BLOCK:
                     flush()
-                    node = page.add(tag, next(n for _, n in reversed(stack) if n >= 0), m[3])
-                elif tag == "a":
+                    stack.append((tag, page.add(tag, above(), m[3])))
+                    opened[tag] += 1
+                elif tag == "a":  # other inline elements change nothing
+                    if stack[-1][0] == "a":
+                        close(len(stack) - 1)
                     in_link += 1
                     anchors += 1
-                if not m[4] or tag in BLOCK or tag == "a":
-                    stack.append((tag, node))
-        elif m[1]:
-            tag = m[1].lower()
+                    stack.append((tag, -1))
+                    opened[tag] += 1
+        elif m[1] and opened[tag := m[1].lower()]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     close(k)
