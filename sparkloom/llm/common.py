@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,14 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(new) for new, c in cols.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
@@ -33,10 +43,28 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so lost executors cost no recomputation."""
+def cut_lineage(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so lost executors cost no recomputation.
+
+    It is read back by as many tasks as its rows ask for, so a small frame doesn't
+    make a shuffle file in each of many tasks.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out.coalesce(max(1, -(-out.count() // rows_per_task)))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to any more.
+
+    Spark does so when the driver collects garbage, which may be long after a large
+    shuffle has served its purpose.  Python's own references go first; the listeners
+    let go of the last query a little later, hence the rounds.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def groups(column, chars: int = 4_000_000) -> Iterator[list[str]]:

@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line's tokens are its runs of non-blank characters; tokens with a digit are
-masked as ``<*>``.  The tree has fixed depth: token count, then the leading
+masked as ``<*>``, unless these are more than half of them.  The tree has fixed depth: token count, then the leading
 ``DEPTH`` masked tokens.  In a leaf the most frequent token of each position (by
 the number of texts) is constant if it has at least half of the texts, else the
 position is a variable field.  Lines that agree with the constants in
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, pick
+from .common import cut_lineage, fresh, pick, release_shuffles
 
 DEPTH, SIMILAR, MIN_TEXTS, MIN_TOKENS = 3, 0.75, 10, 3
 _BLANK = " \\t\\r\\x0B\\f"
@@ -26,11 +26,18 @@ _BLANK = " \\t\\r\\x0B\\f"
 def _tidy(text: Column) -> Column:
     """One space between tokens, none at the ends of lines; most texts are so already."""
     spaced = F.regexp_replace(text, f"[{_BLANK}]+", " ")
-    return F.when(text.rlike("[\\t\\r\\x0B\\f]|  |^ | $|\\n | \\n"), F.regexp_replace(spaced, "^ | $|(?<=\\n) | (?=\\n)", "")).otherwise(text)
+    # plain searches for bytes are far cheaper than a pattern of alternatives
+    odd = text.startswith(" ") | text.endswith(" ")
+    for part in ("\t", "\r", "\x0b", "\f", "  ", " \n", "\n "):
+        odd = odd | text.contains(part)
+    return F.when(odd, F.regexp_replace(spaced, "^ | $|(?<=\\n) | (?=\\n)", "")).otherwise(text)
 
 
 def _masked(line: Column) -> Column:
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
+    """Tokens with digits as ``<*>``; a line that is mostly such tokens stays as it is."""
+    masked = F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")
+    count = lambda c, of: F.length(c) - F.length(F.replace(c, F.lit(of), F.lit(of[1:])))
+    return F.when(line.rlike("[0-9]"), F.when(2 * count(masked, "<*>") > count(line, " ") + 1, line).otherwise(masked)).otherwise(line)
 
 
 def _key(*parts: Column) -> Column:
@@ -38,9 +45,9 @@ def _key(*parts: Column) -> Column:
 
 
 def _lines(plain: DataFrame) -> DataFrame:
-    """(doc_id, text_key, at, masked, n) of every line that has enough tokens."""
+    """(doc_id, text_key, at, masked, n) of every line that has enough tokens, from (doc_id, text_key, text)."""
     # what is computed below the explode is computed once for each text
-    rows = plain.select("doc_id", _key(F.col("text")).alias("text_key"), F.transform(F.split(_tidy(F.col("text")), "\n"), _masked).alias("all"))
+    rows = plain.select("doc_id", "text_key", F.transform(F.split(_tidy(F.col("text")), "\n"), _masked).alias("all"))
     rows = rows.select("doc_id", "text_key", F.posexplode("all").alias("at", "masked"))
     return rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_TOKENS)
 
@@ -49,25 +56,30 @@ def _leaf() -> Column:
     return _key(F.col("n").cast("string"), F.substring_index("masked", " ", DEPTH))
 
 
-def _kept_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> DataFrame:
+def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> DataFrame:
     """(text_key, gone): for every text that loses lines, the positions of these."""
     plain = pick(df, doc_id=id_col, text=text_col).where("text is not null and text != ''")
+    plain = plain.withColumn("text_key", _key(F.col("text")))
     lines = _lines(plain)
     seen = lines.select("doc_id", "text_key", "at", "n", _leaf().alias("leaf"), _key(F.col("masked")).alias("line"))
     seen = cut_lineage(seen.groupBy("line", "text_key").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.min("doc_id").alias("doc"), F.collect_set("at").alias("ats")))
+    release_shuffles(df.sparkSession)
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_key")).alias("first")
     stats = seen.groupBy("line").agg(F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("texts"), first)
 
     # leaves where several lines together are frequent enough for a template
     open_leaves = stats.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.count(F.lit(1)).alias("lines")).where((F.col("texts") >= min_texts) & (F.col("lines") > 1)).select("leaf")
-    wanted = cut_lineage(stats.join(open_leaves, "leaf", "left_semi").select("line", "leaf", "texts"))
-    spelled = lines.select(_key(F.col("masked")).alias("line"), "masked").join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.max("masked").alias("masked"))
+    wanted = cut_lineage(stats.join(open_leaves, "leaf", "left_semi").select("line", "leaf", "texts", F.col("first.text_key").alias("owner")))
+    # the words of these lines, from one text each
+    owners = plain.join(wanted.select(F.col("owner").alias("text_key")).distinct(), "text_key", "left_semi")
+    spelled = _lines(owners).select(_key(F.col("masked")).alias("line"), "masked").join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.max("masked").alias("masked"))
     forms = cut_lineage(wanted.join(spelled, "line").select("line", "leaf", "texts", F.split("masked", " ").alias("tokens")))
     tokens = forms.select("leaf", "texts", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").agg(F.sum("texts").alias("w"))
     tops = tokens.groupBy("leaf", "i").agg(F.max(F.struct("w", "token")).alias("top"), F.sum("w").alias("all"))
     constant = F.when((2 * F.col("top.w") >= F.col("all")) & (F.col("top.token") != "<*>"), F.col("top.token"))
     trees = tops.select("leaf", "i", constant.alias("token")).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("parts")).select("leaf", F.col("parts.token").alias("template"))
     same = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda x, y: x + y)
+    release_shuffles(df.sparkSession)
     grouped = forms.join(trees, "leaf").where(same >= SIMILAR * F.size("tokens")).select("line", F.col("leaf").alias("template"))
 
     shared = seen.join(grouped, "line").groupBy("template", "text_key").agg(F.min("doc").alias("doc"))
@@ -78,14 +90,16 @@ def _kept_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> Da
     return gone.select("text_key", F.explode("ats").alias("at")).groupBy("text_key").agg(F.collect_set("at").alias("gone"))
 
 
-def _apply(df: DataFrame, text_col: str, gone: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
-    text = F.col(f"`{text_col}`")
-    keyed = df.withColumn("_text_key", _key(F.coalesce(text, F.lit(""))))
-    joined = keyed.join(gone.withColumnRenamed("text_key", "_text_key").withColumnRenamed("gone", "_gone"), "_text_key", "left")
+def _apply(df: DataFrame, text_col: str, gone: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """``df`` with the positions that go, the text that is left, and these positions (null: none)."""
+    key, at = fresh(df, "_text_key"), fresh(df, "_gone")
+    text, drop = F.col(f"`{text_col}`"), F.col(at)
+    keyed = df.withColumn(key, _key(F.coalesce(text, F.lit(""))))
+    joined = keyed.join(gone.withColumnsRenamed({"text_key": key, "gone": at}), key, "left")
     lines = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.concat_ws("\n", F.transform(left, lambda i: F.get(lines, i))))
-    return joined, kept, lines, left
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    kept = F.when(drop.isNull(), text).otherwise(F.concat_ws("\n", F.transform(left, lambda i: F.get(lines, i))))
+    return joined, kept, drop
 
 
 def dedup_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -98,15 +112,15 @@ def dedup_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_
     rows count as one text.  An empty table gives no rows.
     """
     plain = pick(df, doc_id=id_col, text=text_col)
-    joined, kept, lines, _ = _apply(plain, "text", _kept_lines(plain, "doc_id", "text", min_texts))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return joined.select("doc_id", n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    joined, kept, drop = _apply(plain, "text", _gone_lines(plain, "doc_id", "text", min_texts))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return joined.select("doc_id", n.alias("n_lines"), F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
 
 def drop_recurring_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``df`` with its texts cut, all other columns as they were; texts of which nothing is left but blank lines are removed with their rows."""
-    joined, kept, _, left = _apply(df, text_col, _kept_lines(df, id_col, text_col, min_texts))
-    some = F.col("_gone").isNull() | (F.length(F.regexp_replace(kept, r"\s+", "")) > 0)
+    joined, kept, drop = _apply(df, text_col, _gone_lines(df, id_col, text_col, min_texts))
+    some = drop.isNull() | (F.length(F.regexp_replace(kept, r"\s+", "")) > 0)
     return joined.where(some).select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
 
 
@@ -124,7 +138,8 @@ WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM {table}),
 lines AS (SELECT doc_id, text, i - 1 AS pos, string_split(text, chr(10))[i] AS line
           FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs WHERE text IS NOT NULL AND text != '')),
 clean AS (SELECT doc_id, text, pos, regexp_replace(regexp_replace(line, '^[{blank}]+|[{blank}]+$', '', 'g'), '[{blank}]+', ' ', 'g') AS p FROM lines),
-masked AS (SELECT doc_id, text, pos, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM clean),
+both_ AS (SELECT *, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS q FROM clean),
+masked AS (SELECT doc_id, text, pos, CASE WHEN regexp_matches(p, '[0-9]') AND 2 * (length(q) - length(replace(q, '<*>', '*>'))) <= length(p) - length(replace(p, ' ', '')) + 1 THEN q ELSE p END AS m FROM both_),
 toks AS (SELECT *, string_split(m, ' ') AS tokens, len(string_split(m, ' ')) AS n FROM masked),
 seen AS (SELECT m, text, n, tokens, tokens[1:{DEPTH}] AS lead, min(doc_id) AS doc FROM toks WHERE n >= {MIN_TOKENS} GROUP BY m, text, n, tokens),
 stats AS (SELECT m, n, lead, any_value(tokens) AS tokens, count(*) AS texts, arg_min(text, (doc IS NULL, doc, md5(text))) AS owner FROM seen GROUP BY m, n, lead),
