@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, groups, pick
+from .common import cut_lineage, groups, pick, release_shuffles
 
 SHINGLE = 5
 BINS, BANDS, ROWS = 128, 32, 4
@@ -254,6 +254,17 @@ def _block_links(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
 
+def _cluster_links(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components among the nodes of large buckets, found in blocks of the clusters that the buckets form."""
+    cluster = components(many.select(F.col("leader").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
+    inside = many.select("node", "root").distinct().join(cluster, "node", "left").select("node", "root", F.coalesce("cluster", "node").alias("cluster"))
+    size = inside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = inside.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
+    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "root", "shingles")
+    return cut_lineage(dealt.groupBy("cluster", "i", "j").applyInArrow(_block_links, "a binary, b binary"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node that isn't its root, from links (a, b), by alternating stars.
 
@@ -287,16 +298,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     equal text are in one component, also if they repeat an id; a component
     without any id has a null ``component_id``.  An empty table gives no rows.
     """
-    plain = pick(df, doc_id=id_col, text=text_col)
+    spark, plain = df.sparkSession, pick(df, doc_id=id_col, text=text_col)
     kind = plain.schema["doc_id"].dataType.simpleString()
     base = cut_lineage(_base(plain, kind))
     filled = base.where("n_shingles > 0")
     # copies are merged before anything else; equal sets have equal sketches and keys
     nodes = cut_lineage(filled.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch")))
+    release_shuffles(spark)
     spread = nodes.select("node", F.explode("keys").alias("key"))
     # xxhash-like keys: a bucket of one node is of no interest
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
     members = cut_lineage(spread.join(shared, "key").select("key", "node", "leader"))
+    release_shuffles(spark)
     sketch = nodes.select("node", "sketch")
 
     def sets_of(needed: DataFrame) -> DataFrame:
@@ -315,27 +328,28 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     star = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     roots = components(confirmed(star))
+    release_shuffles(spark)
+
+    def mixed(of: DataFrame) -> DataFrame:
+        """(key, node, leader, n, root) of those buckets among ``of`` whose ``n`` members aren't all in one component."""
+        labelled = of.join(roots, "node", "left").select("key", "node", "leader", F.coalesce("root", "node").alias("root"))
+        found = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "n")
+        return labelled.join(found, "key")
 
-    labelled = members.join(roots, "node", "left").select("key", "node", "leader", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "n")
-    rest = cut_lineage(labelled.join(mixed, "key"))
+    def merged(links: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
+    rest = cut_lineage(mixed(members))
     few = rest.where((F.col("n") <= SMALL) & (F.col("node") != F.col("leader"))).select("key", "node", "root")
     other = few.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
     pairs = few.join(other, "key").where("node < other and root != other_root").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    links = confirmed(pairs)
+    roots = merged(confirmed(pairs))
+    release_shuffles(spark)
 
-    many = cut_lineage(rest.where(F.col("n") > SMALL).select("key", "node", "leader", "root"))
+    many = cut_lineage(mixed(rest.where(F.col("n") > SMALL).select("key", "node", "leader")))
     if not many.isEmpty():
-        cluster = components(many.select(F.col("leader").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
-        inside = many.select("node", "root").distinct().join(cluster, "node", "left").select("node", "root", F.coalesce("cluster", "node").alias("cluster"))
-        size = inside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        placed = inside.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        placed = placed.join(sets_of(many.select("node").distinct()), "node")
-        dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "root", "shingles")
-        links = links.unionByName(cut_lineage(dealt.groupBy("cluster", "i", "j").applyInArrow(_block_links, "a binary, b binary")))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+        roots = merged(_cluster_links(many, sets_of(many.select("node").distinct())))
+        release_shuffles(spark)
 
     labelled = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -350,3 +364,18 @@ def drop_near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame
     found = near_duplicates(df, id_col, text_col)
     kept = found.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return df.join(kept, df[f"`{id_col}`"].eqNullSafe(kept["_kept_id"]), "left_semi")
+
+
+def oracle(table: str = "documents") -> str:
+    """DuckDB SQL by the definition, over all pairs that share a shingle; ids must be unique."""
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE} + 2), lambda i: array_to_string(w[i:i + {SHINGLE} - 1], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM {table} UNION SELECT l.y, reach.r FROM reach JOIN links l ON l.x = reach.doc_id)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept
+FROM {table} d LEFT JOIN sizes z ON z.doc_id = d.doc_id JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) g ON g.doc_id = d.doc_id
+"""

@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.oracle()}
+    return {"op4_near_dedup": neardup.oracle(), "op8_line_dedup": line_dedup.oracle()}
