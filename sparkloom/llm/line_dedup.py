@@ -10,6 +10,9 @@ own template.  A template that recurs in ``MIN_TEXTS`` different texts or more i
 dropped, but for the text of the lowest document id that has it, and copies of
 that text.  So exact copies of a document stay copies, and a passage that runs
 through many documents is kept once.
+
+The whole rule (``whole=True``; not in the SQL) asks fewer texts of longer lines,
+which do not repeat by chance: see ``STEPS``.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, fresh, pick, release_shuffles
 
 DEPTH, SIMILAR, MIN_TEXTS, MIN_TOKENS = 3, 0.75, 10, 3
+#: By the whole rule, lines of so many tokens or more need so many different texts; shorter ones need ``MIN_TEXTS``.
+STEPS = ((20, 2), (8, 3))
 _BLANK = " \\t\\r\\x0B\\f"
 
 
@@ -56,8 +61,17 @@ def _leaf() -> Column:
     return _key(F.col("n").cast("string"), F.substring_index("masked", " ", DEPTH))
 
 
-def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> DataFrame:
+def _needed(min_texts: int, whole: bool) -> Column:
+    """The number of different texts that a line of ``n`` tokens must occur in to go."""
+    out = F.lit(min_texts)
+    for tokens, texts in reversed(STEPS if whole else ()):
+        out = F.when(F.col("n") >= tokens, F.lit(min(texts, min_texts))).otherwise(out)
+    return out
+
+
+def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int, whole: bool) -> DataFrame:
     """(text_key, gone): for every text that loses lines, the positions of these."""
+    enough = F.col("texts") >= _needed(min_texts, whole)
     plain = pick(df, doc_id=id_col, text=text_col).where("text is not null and text != ''")
     plain = plain.withColumn("text_key", _key(F.col("text")))
     lines = _lines(plain)
@@ -65,10 +79,10 @@ def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> Da
     seen = cut_lineage(seen.groupBy("line", "text_key").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.min("doc_id").alias("doc"), F.collect_set("at").alias("ats")))
     release_shuffles(df.sparkSession)
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_key")).alias("first")
-    stats = seen.groupBy("line").agg(F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("texts"), first)
+    stats = seen.groupBy("line").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.count(F.lit(1)).alias("texts"), first)
 
     # leaves where several lines together are frequent enough for a template
-    open_leaves = stats.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.count(F.lit(1)).alias("lines")).where((F.col("texts") >= min_texts) & (F.col("lines") > 1)).select("leaf")
+    open_leaves = stats.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.min("n").alias("n"), F.count(F.lit(1)).alias("lines")).where(enough & (F.col("lines") > 1)).select("leaf")
     wanted = cut_lineage(stats.join(open_leaves, "leaf", "left_semi").select("line", "leaf", "texts", F.col("first.text_key").alias("owner")))
     # the words of these lines, from one text each
     owners = plain.join(wanted.select(F.col("owner").alias("text_key")).distinct(), "text_key", "left_semi")
@@ -82,10 +96,10 @@ def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> Da
     release_shuffles(df.sparkSession)
     grouped = forms.join(trees, "leaf").where(same >= SIMILAR * F.size("tokens")).select("line", F.col("leaf").alias("template"))
 
-    shared = seen.join(grouped, "line").groupBy("template", "text_key").agg(F.min("doc").alias("doc"))
-    shared = shared.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), first).where(F.col("texts") >= min_texts)
+    shared = seen.join(grouped, "line").groupBy("template", "text_key").agg(F.min("doc").alias("doc"), F.min("n").alias("n"))
+    shared = shared.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("n").alias("n"), first).where(enough)
     dropped = grouped.join(shared, "template").select("line", F.col("first.text_key").alias("owner"))
-    alone = stats.where(F.col("texts") >= min_texts).join(grouped, "line", "left_anti").select("line", F.col("first.text_key").alias("owner"))
+    alone = stats.where(enough).join(grouped, "line", "left_anti").select("line", F.col("first.text_key").alias("owner"))
     gone = seen.join(dropped.unionByName(alone), "line").where("text_key != owner")
     return gone.select("text_key", F.explode("ats").alias("at")).groupBy("text_key").agg(F.collect_set("at").alias("gone"))
 
@@ -102,24 +116,25 @@ def _apply(df: DataFrame, text_col: str, gone: DataFrame) -> tuple[DataFrame, Co
     return joined, kept, drop
 
 
-def dedup_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_TEXTS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_TEXTS, whole: bool = False) -> DataFrame:
     """Drop the lines of recurring templates.
 
     One row per input row: ``doc_id``, ``n_lines``, ``n_dropped``, ``kept_text``.
     Lines are split at ``\\n``; lines of fewer than ``MIN_TOKENS`` tokens are never
     dropped.  A null text has no lines and stays null, an empty one has one
     (blank) line.  Null ids own a template only if no other id has it.  Repeated
-    rows count as one text.  An empty table gives no rows.
+    rows count as one text.  An empty table gives no rows.  ``whole`` takes the
+    whole rule instead of that of the SQL.
     """
     plain = pick(df, doc_id=id_col, text=text_col)
-    joined, kept, drop = _apply(plain, "text", _gone_lines(plain, "doc_id", "text", min_texts))
+    joined, kept, drop = _apply(plain, "text", _gone_lines(plain, "doc_id", "text", min_texts, whole))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return joined.select("doc_id", n.alias("n_lines"), F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_TEXTS) -> DataFrame:
+def drop_recurring_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_TEXTS, whole: bool = False) -> DataFrame:
     """``df`` with its texts cut, all other columns as they were; texts of which nothing is left but blank lines are removed with their rows."""
-    joined, kept, drop = _apply(df, text_col, _gone_lines(df, id_col, text_col, min_texts))
+    joined, kept, drop = _apply(df, text_col, _gone_lines(df, id_col, text_col, min_texts, whole))
     some = drop.isNull() | (F.length(F.regexp_replace(kept, r"\s+", "")) > 0)
     return joined.where(some).select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
 

@@ -45,11 +45,19 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_payloads(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+def _line_sums(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("kept_text").cast("long").alias("n_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_sums(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def op8_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rule, which the SQL of ``op8_line_dedup`` doesn't have."""
+    return _line_sums(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text", whole=True))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", RANKS, PATTERN)
 
@@ -59,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_main_text, op2_licenses, op3_fingerprint, op4_near_dedup, op5_toxicity, op6_token_counts, op7_media, op8_line_dedup, op9_bpe, op10_packing)
+    every = (op1_main_text, op2_licenses, op3_fingerprint, op4_near_dedup, op5_toxicity, op6_token_counts, op7_media, op8_line_dedup, op8_line_dedup_whole, op9_bpe, op10_packing)
     return {f.__name__: f for f in every}
 
 

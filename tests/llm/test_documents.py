@@ -207,6 +207,28 @@ def test_line_dedup_generalises_and_keeps(spark):
     assert "Python" not in cut._jdf.queryExecution().executedPlan().toString()
 
 
+def kept_texts(spark, texts):
+    return {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(docs_frame(spark, texts), "id", "body", whole=True).collect()}
+
+
+def words(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+
+
+def test_whole_line_dedup_of_few_texts(spark):
+    lengths = {3: 10, 7: 10, 8: 3, 19: 3, 20: 2, 60: 2}
+    texts, want = [], {}
+    for n, least in lengths.items():
+        for times in (least - 1, least):
+            for k in range(times):
+                i, own = len(texts), words(f"{n} {times} {k}", 5)
+                texts.append((i, f"{own}\n{words(f'{n} {times}', n)}"))
+                want[i] = own if times == least and k else texts[-1][1]
+    texts += [(900 + k, words("copy", 70) + "\n" + words("copies", 9)) for k in range(12)]  # exact copies are one text
+    assert kept_texts(spark, texts) == want | dict(texts[-12:])
+
+
 # ---- near-duplicates
 
 
