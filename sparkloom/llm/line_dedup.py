@@ -12,7 +12,10 @@ that text.  So exact copies of a document stay copies, and a passage that runs
 through many documents is kept once.
 
 The whole rule (``whole=True``; not in the SQL) asks fewer texts of longer lines,
-which do not repeat by chance: see ``STEPS``.
+which do not repeat by chance: see ``STEPS``.  Lines beside the leaf's template get
+templates of their own: each keeps the ``SIMILAR`` part of its tokens that most
+texts of the leaf share at that position, and equal selections are one template,
+so a leaf holds any number of them, also amid unrelated lines.
 """
 
 from __future__ import annotations
@@ -69,6 +72,19 @@ def _needed(min_texts: int, whole: bool) -> Column:
     return out
 
 
+def _further(rest: DataFrame, enough: Column) -> DataFrame:
+    """(line, template, n) of lines that share a template beside that of their leaf."""
+    each = rest.select("line", "leaf", "n", "texts", F.posexplode("tokens").alias("i", "token"))
+    common = each.groupBy("leaf", "i", "token").agg(F.sum("texts").alias("texts"), F.min("n").alias("n")).where(enough).select("leaf", "i", "token", F.col("texts").alias("w"))
+    held = each.join(common, ["leaf", "i", "token"]).groupBy("line", "leaf", "n").agg(F.sort_array(F.collect_list(F.struct("w", "i", "token")), asc=False).alias("held"))
+    # the least weight that still leaves the part of the tokens asked for
+    rank = F.ceil(SIMILAR * F.col("n")).cast("int")
+    held = held.where(F.size("held") >= rank).withColumn("least", F.get("held", rank - 1)["w"])
+    held = held.withColumn("held", F.array_sort(F.transform(F.filter("held", lambda x: x["w"] >= F.col("least")), lambda x: F.struct(x["i"].alias("i"), x["token"].alias("token")))))
+    held = held.where(F.exists("held", lambda x: x["token"] != "<*>"))
+    return held.select("line", _key(F.hex("leaf"), F.to_json("held")).alias("template"), "n")
+
+
 def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int, whole: bool) -> DataFrame:
     """(text_key, gone): for every text that loses lines, the positions of these."""
     enough = F.col("texts") >= _needed(min_texts, whole)
@@ -96,6 +112,12 @@ def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int, whole
     release_shuffles(df.sparkSession)
     grouped = forms.join(trees, "leaf").where(same >= SIMILAR * F.size("tokens")).select("line", F.col("leaf").alias("template"))
 
+    if whole:
+        grouped = cut_lineage(grouped)
+        rest = forms.withColumn("n", F.size("tokens")).join(grouped, "line", "left_anti")
+        grouped = grouped.unionByName(cut_lineage(_further(rest, enough).select("line", "template")))
+        release_shuffles(df.sparkSession)
+
     shared = seen.join(grouped, "line").groupBy("template", "text_key").agg(F.min("doc").alias("doc"), F.min("n").alias("n"))
     shared = shared.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("n").alias("n"), first).where(enough)
     dropped = grouped.join(shared, "template").select("line", F.col("first.text_key").alias("owner"))

@@ -229,6 +229,16 @@ def test_whole_line_dedup_of_few_texts(spark):
     assert kept_texts(spark, texts) == want | dict(texts[-12:])
 
 
+def test_whole_line_dedup_of_several_templates(spark):
+    names = "ann bob cid dan eve fay gus hal ida jon kim leo".split()
+    forms = ["the user named {} left a short reply here", "the user named {} has reached another new level"]
+    texts = [(100 * f + k, f"{words(f'{f} {k}', 5)}\n{form.format(n)}") for f, form in enumerate(forms) for k, n in enumerate(names)]
+    want = {i: t if i % 100 == 0 else t.split("\n")[0] for i, t in texts}
+    # unrelated lines that begin alike
+    noise = [(1000 + k, f"the user named {words(f'noise {k}', len(forms[0].split()) - 3)}") for k in range(60)]
+    assert kept_texts(spark, texts + noise) == want | dict(noise)
+
+
 # ---- near-duplicates
 
 
