@@ -15,7 +15,8 @@ The whole rule (``whole=True``; not in the SQL) asks fewer texts of longer lines
 which do not repeat by chance: see ``STEPS``.  Lines beside the leaf's template get
 templates of their own: each keeps the ``SIMILAR`` part of its tokens that most
 texts of the leaf share at that position, and equal selections are one template,
-so a leaf holds any number of them, also amid unrelated lines.
+so a leaf holds any number of them, also amid unrelated lines.  Lines are masked
+as soon as one token has no digit, and masked tokens don't count for ``STEPS``.
 """
 
 from __future__ import annotations
@@ -41,21 +42,21 @@ def _tidy(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(spaced, "^ | $|(?<=\\n) | (?=\\n)", "")).otherwise(text)
 
 
-def _masked(line: Column) -> Column:
-    """Tokens with digits as ``<*>``; a line that is mostly such tokens stays as it is."""
+def _masked(line: Column, whole: bool) -> Column:
+    """Tokens with digits as ``<*>``; a line that is mostly such tokens (by the whole rule: has no others) stays as it is."""
     masked = F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")
     count = lambda c, of: F.length(c) - F.length(F.replace(c, F.lit(of), F.lit(of[1:])))
-    return F.when(line.rlike("[0-9]"), F.when(2 * count(masked, "<*>") > count(line, " ") + 1, line).otherwise(masked)).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.when((1 if whole else 2) * count(masked, "<*>") > count(line, " ") + (0 if whole else 1), line).otherwise(masked)).otherwise(line)
 
 
 def _key(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws(" ", *parts)))
 
 
-def _lines(plain: DataFrame) -> DataFrame:
+def _lines(plain: DataFrame, whole: bool) -> DataFrame:
     """(doc_id, text_key, at, masked, n) of every line that has enough tokens, from (doc_id, text_key, text)."""
     # what is computed below the explode is computed once for each text
-    rows = plain.select("doc_id", "text_key", F.transform(F.split(_tidy(F.col("text")), "\n"), _masked).alias("all"))
+    rows = plain.select("doc_id", "text_key", F.transform(F.split(_tidy(F.col("text")), "\n"), lambda line: _masked(line, whole)).alias("all"))
     rows = rows.select("doc_id", "text_key", F.posexplode("all").alias("at", "masked"))
     return rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_TOKENS)
 
@@ -90,19 +91,21 @@ def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int, whole
     enough = F.col("texts") >= _needed(min_texts, whole)
     plain = pick(df, doc_id=id_col, text=text_col).where("text is not null and text != ''")
     plain = plain.withColumn("text_key", _key(F.col("text")))
-    lines = _lines(plain)
-    seen = lines.select("doc_id", "text_key", "at", "n", _leaf().alias("leaf"), _key(F.col("masked")).alias("line"))
+    lines = _lines(plain, whole)
+    # masked tokens make no line less likely to repeat by chance
+    weight = F.size(F.filter(F.split("masked", " "), lambda t: t != "<*>")) if whole else F.col("n")
+    seen = lines.select("doc_id", "text_key", "at", weight.alias("n"), _leaf().alias("leaf"), _key(F.col("masked")).alias("line"))
     seen = cut_lineage(seen.groupBy("line", "text_key").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.min("doc_id").alias("doc"), F.collect_set("at").alias("ats")))
     release_shuffles(df.sparkSession)
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_key")).alias("first")
     stats = seen.groupBy("line").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.count(F.lit(1)).alias("texts"), first)
 
     # leaves where several lines together are frequent enough for a template
-    open_leaves = stats.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.min("n").alias("n"), F.count(F.lit(1)).alias("lines")).where(enough & (F.col("lines") > 1)).select("leaf")
+    open_leaves = stats.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.max("n").alias("n"), F.count(F.lit(1)).alias("lines")).where(enough & (F.col("lines") > 1)).select("leaf")
     wanted = cut_lineage(stats.join(open_leaves, "leaf", "left_semi").select("line", "leaf", "texts", F.col("first.text_key").alias("owner")))
     # the words of these lines, from one text each
     owners = plain.join(wanted.select(F.col("owner").alias("text_key")).distinct(), "text_key", "left_semi")
-    spelled = _lines(owners).select(_key(F.col("masked")).alias("line"), "masked").join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.max("masked").alias("masked"))
+    spelled = _lines(owners, whole).select(_key(F.col("masked")).alias("line"), "masked").join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.max("masked").alias("masked"))
     forms = cut_lineage(wanted.join(spelled, "line").select("line", "leaf", "texts", F.split("masked", " ").alias("tokens")))
     tokens = forms.select("leaf", "texts", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").agg(F.sum("texts").alias("w"))
     tops = tokens.groupBy("leaf", "i").agg(F.max(F.struct("w", "token")).alias("top"), F.sum("w").alias("all"))

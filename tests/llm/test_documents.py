@@ -239,6 +239,14 @@ def test_whole_line_dedup_of_several_templates(spark):
     assert kept_texts(spark, texts + noise) == want | dict(noise)
 
 
+def test_whole_line_dedup_of_stamps(spark):
+    texts = [(k, f"{words(f'own {k}', 5)}\n2026-11-{k + 10} 10:0{k % 9}:02 {k} login\n[12:{k}] 10.0.0.{k} {k + 400} GET 17") for k in range(12)]
+    texts += [(100 + k, f"{words(f'table {k}', 5)}\n{k} {k + 1} {k + 2} {k + 3}") for k in range(12)]  # nothing constant
+    texts += [(200 + k, f"{words(f'row {k}', 5)}\n" + " ".join(str(k * j + j) for j in range(25)) + " km") for k in range(3)]
+    want = {i: t.split("\n")[0] if 0 < i < 100 else t for i, t in texts}
+    assert kept_texts(spark, texts) == want
+
+
 # ---- near-duplicates
 
 
