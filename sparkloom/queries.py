@@ -302,6 +302,15 @@ def join_product(spark, sf_dir):
     return join.join_tree(root.join("n_nationkey", "c_nationkey", join.JoinNode(rows(spark, sf_dir, "customer"), "c", ["c_custkey"], Where(all_of=[Pred("c_custkey", "<", 200)]))))
 
 
+@query("""SELECT n_nationkey AS n_n_nationkey, s_suppkey AS s_s_suppkey, count(*) AS n_pairs, sum(c_custkey)::BIGINT AS custkeys
+FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+def join_product_whole(spark, sf_dir):
+    """The product of all customers and suppliers of a nation, counted for each supplier."""
+    root = join.JoinNode(rows(spark, sf_dir, "nation"), "n").join("n_nationkey", "s_nationkey", join.JoinNode(rows(spark, sf_dir, "supplier"), "s", ["s_suppkey"]))
+    found = join.join_tree(root.join("n_nationkey", "c_nationkey", join.JoinNode(rows(spark, sf_dir, "customer"), "c", ["c_custkey"])))
+    return found.groupBy("n_n_nationkey", "s_s_suppkey").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("c_c_custkey").alias("custkeys"))
+
+
 @query("SELECT l_partkey AS l_l_partkey, p_partkey AS p_p_partkey, p_brand AS p_p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
 def join_project(spark, sf_dir):
     return join.join_tree(join.JoinNode(rows(spark, sf_dir, "lineitem"), "l").join("l_partkey", "p_partkey", join.JoinNode(rows(spark, sf_dir, "part"), "p", ["p_brand"])))

@@ -118,6 +118,16 @@ def test_join_missing_key_and_aliases(spark):
         join.join_tree(join.JoinNode(left, "l").join("x", "x", join.JoinNode(right, "l")))
 
 
+def test_whole_product_of_branches(spark, tmp_path):
+    tables = {"nation": ([(1, "a", 0), (2, "b", 0), (3, "c", 0)], "n_nationkey int, n_name string, n_regionkey int"), "supplier": ([(1, 1), (2, 1), (3, 2), (4, 9)], "s_suppkey long, s_nationkey int")}
+    tables["customer"] = ([(k, k % 4) for k in range(150, 450)], "c_custkey long, c_nationkey int")
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    of = lambda n: [k for k in range(150, 450) if k % 4 == n]
+    want = {(n, s, len(of(n)), sum(of(n))) for s, n in ((1, 1), (2, 1), (3, 2))}
+    assert {tuple(r) for r in queries()["join_product_whole"](spark, str(tmp_path)).collect()} == want
+
+
 @pytest.fixture(scope="module")
 def family(spark):
     frames = {
