@@ -127,6 +127,15 @@ def scan_multi_family(spark, sf_dir):
     return nested.select("o_orderkey", "o_orderstatus", F.concat_ws(",", F.transform("lineitem", lambda x: x["l_partkey"].cast("string"))).alias("parts"))
 
 
+@query("""SELECT o.o_orderkey, o.o_orderstatus, coalesce(string_agg(cast(l.l_partkey AS VARCHAR), ',' ORDER BY l.l_linenumber, l.l_partkey), '') AS parts
+FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY ALL""")
+def scan_multi_family_whole(spark, sf_dir):
+    """All orders with their children, no condition on the key."""
+    request = cascade.Cascade("orders", columns=["o_orderstatus"], children=[cascade.Cascade("lineitem", columns=["l_partkey"])])
+    nested = cascade.read_nested(shop(spark, sf_dir), "shop", request)
+    return nested.select("o_orderkey", "o_orderstatus", F.concat_ws(",", F.transform("lineitem", lambda x: x["l_partkey"].cast("string"))).alias("parts"))
+
+
 @query("SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'")
 def scan_index_inregion(spark, sf_dir):
     return join.restrict_to(rows(spark, sf_dir, "orders"), _index_hits(spark, sf_dir), "o_orderkey")

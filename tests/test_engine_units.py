@@ -152,6 +152,15 @@ def test_nested_read_has_no_fan_out(family):
     assert got[3]["line"][1]["leaf"] == [{"leaf_id": 100}] and got[3]["line"][0]["leaf"] == []
 
 
+def test_whole_multi_family_read(spark, tmp_path):
+    orders = [(k, 1, "O") for k in (1, 1999, 2000, 2001, 70000)]
+    lines = [(k, n, 10 * n + k % 10) for k, _, _ in orders[:-1] for n in (2, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["o_orderkey"]: r["parts"] for r in queries()["scan_multi_family_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: "" if k == 70000 else f"{10 + k % 10},{20 + k % 10}" for k, _, _ in orders}
+
+
 def test_cascade_delete(spark, family):
     left = cascade.delete_cascade(family, "t", spark.createDataFrame([(3,)], "id int"))
     assert {k: v.count() for k, v in left.items()} == {"root": 2, "line": 1, "note": 0, "leaf": 0}
