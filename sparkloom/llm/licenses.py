@@ -4,15 +4,18 @@ Hashes of ``GRAM`` consecutive words are winnowed: of each ``WINDOW`` consecutiv
 hashes the least is kept, so a common run of ``GRAM + WINDOW - 1`` words shares a
 kept hash.  An inverted index leads from hashes to template positions.  Hits of one
 template on nearby diagonals make a candidate; its words are aligned within a band
-around them, and matched coverage and span are reported.
+around them, and matched coverage and span are reported; the words beside a match
+are aligned again, as a short notice may recur within the band.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from .common import groups, pick
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 12, 0.8
+T = TypeVar("T")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -86,33 +90,63 @@ class LicenseIndex:
                     first = d
                 last = d
         # most matched words first; what overlaps a better match goes
-        taken: list[Match] = []
-        for m in sorted(out, key=lambda m: (-m.matched, -m.coverage, m.start, m.name)):
-            if all(m.end <= t.start or m.start >= t.end for t in taken):
-                taken.append(m)
+        taken = _apart(sorted(out, key=lambda m: (-m.matched, -m.coverage, m.start, m.name)), lambda m: (m.start, m.end))
         return sorted(taken, key=lambda m: m.start)
 
     def _align(self, name: str, ws: list[str], first: int, last: int, found: list[re.Match]) -> list[Match]:
-        """Longest common subsequence of template and text within the band around the diagonals."""
-        template = self.words[name]
-        lo, hi = first - BAND, last + BAND
-        width = hi - lo + 1
-        # per diagonal: matched words, first and last matched position of the text
+        """All matches within the band around the diagonals: the best ones, then those in the words between them."""
+        words, out, ranges = len(self.words[name]), [], [(0, len(ws))]
+        while ranges:
+            begin, end = ranges.pop()
+            lo, hi = max(first - BAND, begin - words + 1), min(last + BAND, end - 1)
+            if end - begin < COVERAGE * words or lo > hi:
+                continue
+            for n, a, b in (best := self._best(name, ws, lo, hi, begin, end)):
+                out.append(Match(name, found[a].start(), found[b].end(), n, words))
+            for _, a, b in best:
+                ranges.append((begin, a))
+                begin = b + 1
+            if best:
+                ranges.append((begin, end))
+        return out
+
+    def _best(self, name: str, ws: list[str], lo: int, hi: int, begin: int, end: int) -> list[tuple[int, int, int]]:
+        """Longest common subsequences of template and ``ws[begin:end]`` on diagonals ``lo`` to ``hi``, in order.
+
+        (matched words, first and last position) of those of the greatest length that don't overlap.
+        """
+        template, width = self.words[name], hi - lo + 1
+        # per diagonal: matched words, first and last matched position of the text; of equal ones the latest start
         best: list[tuple[int, int, int]] = [(0, -1, -1)] * (width + 1)
         for i, t in enumerate(template):
             left = (0, -1, -1)
             for k in range(width):
                 j = lo + k + i
                 up = best[k + 1]  # the row before, one diagonal further
-                here = left if left[0] >= up[0] else up
-                if 0 <= j < len(ws) and ws[j] == t and best[k][0] + 1 > here[0]:
+                here = left if left[:2] >= up[:2] else up
+                if begin <= j < end and ws[j] == t:
                     n, a, _ = best[k]
-                    here = (n + 1, a if n else j, j)
+                    if (n + 1, a if n else j) > here[:2]:
+                        here = (n + 1, a if n else j, j)
                 best[k] = left = here
-        n, a, b = max(best, key=lambda x: (x[0], x[1] - x[2]))
-        if n < COVERAGE * len(template):
+        most = max(n for n, _, _ in best)
+        if most < COVERAGE * len(template):
             return []
-        return [Match(name, found[a].start(), found[b].end(), n, len(template))]
+        ends = {x for x in best if x[0] == most}
+        return sorted(_apart(sorted(ends, key=lambda x: (x[2] - x[1], x[1])), lambda x: (x[1], x[2] + 1)), key=lambda x: x[1])
+
+
+def _apart(items: Iterable[T], span: Callable[[T], tuple[int, int]]) -> list[T]:
+    """Those items, the first ones preferred, whose spans (without the end) don't overlap."""
+    spans: list[tuple[int, int]] = []
+    kept = []
+    for item in items:
+        start, end = span(item)
+        at = bisect_left(spans, (start, end))
+        if (at == 0 or spans[at - 1][1] <= start) and (at == len(spans) or spans[at][0] >= end):
+            spans.insert(at, (start, end))
+            kept.append(item)
+    return kept
 
 
 def scan_licenses(df: DataFrame, id_col: str, text_col: str, templates: dict[str, str]) -> DataFrame:

@@ -166,6 +166,18 @@ def test_every_template_finds_itself():
         assert [m.coverage for m in found if m.name == name] == [1.0], name
 
 
+def test_notices_that_recur_at_small_distance():
+    scan = licenses.LicenseIndex(license_texts.TEMPLATES).scan
+    notice = "Released under the MIT License"
+    for count, between in ((3, ". bar 2.1 "), (40, " "), (3000, "; foo 1.0 ")):
+        text = "foo 1.0 " + between.join([notice] * count) + "."
+        starts = [8 + k * len(notice + between) for k in range(count)]
+        assert [(m.name, m.start, m.end) for m in scan(text)] == [("MIT/notice", s, s + len(notice)) for s in starts]
+    # a notice of lower coverage beside whole ones
+    text = f"{notice}. Released under the old MIT License. {notice}. Released under a MIT License. {notice}."
+    assert [m.matched for m in scan(text)] == [5, 5, 5, 4, 5]
+
+
 # ---- line dedup
 
 
