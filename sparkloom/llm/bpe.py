@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 import regex
@@ -321,4 +323,27 @@ def fast_encoder(blob: bytes, pattern: str):
     return _FAST[key]
 
 
-__all__ = ["EncodedText", "GrowingBytes", "PrefixEncoder", "encode_documents", "fast_encoder", "parse_ranks"]
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON with their ids."""
+    with open(json_path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t[flag] for t in found for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that match by context are not supported")
+    return {t["content"]: t["id"] for t in found}
+
+
+def with_added(encode: Callable[[str], list[int]], added: Mapping[str, int]) -> Callable[[str], list[int]]:
+    """``encode`` for the text between the added tokens, whose own ids come in between."""
+    if not added:
+        return encode
+    split = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")").split
+
+    def run(text: str) -> list[int]:
+        if not any(t in text for t in added):
+            return encode(text)
+        return [i for part in split(text) for i in ([added[part]] if part in added else encode(part))]
+
+    return run
+
+
+__all__ = ["EncodedText", "GrowingBytes", "PrefixEncoder", "added_tokens", "encode_documents", "fast_encoder", "parse_ranks", "with_added"]

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import fast_encoder
+from .bpe import fast_encoder, with_added
 from .common import groups, pick
 
 #: (document key, start in the document, ids, document length)
@@ -109,7 +109,7 @@ class SumOfSquares:
             self.next += 1
 
 
-def pack_documents(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, end_id: int = 1, size: int = 2048, max_open: int = 1024) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, end_id: int = 1, size: int = 2048, max_open: int = 1024, added: Mapping[str, int] | None = None) -> DataFrame:
     """Pack the token ids of all documents, each followed by ``end_id``, into sequences of ``size``.
 
     One row for each piece: ``doc_id``, ``start`` (ids of its document before it),
@@ -117,7 +117,7 @@ def pack_documents(df: DataFrame, id_col: str, text_col: str, ranks_path: str, p
     ``doc_tokens``, ``sequence_id``, ``offset``.  Every id lies in one piece; a
     sequence is full or its length is a power of two.  A null or empty text is
     the single id ``end_id``; repeated rows are packed each; an empty table gives
-    no rows.
+    no rows.  Strings of ``added`` tokens become their ids.
 
     Each input split is packed online by its own task: no shuffle, and a task that
     is run again places everything as before, as the order of a split is fixed.
@@ -129,7 +129,7 @@ def pack_documents(df: DataFrame, id_col: str, text_col: str, ranks_path: str, p
     kind = plain.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = fast_encoder(vocabulary.value, pattern).encode_ordinary
+        encode = with_added(fast_encoder(vocabulary.value, pattern).encode_ordinary, added or {})
         packer, base = SumOfSquares(size, max_open), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         id_type, number = None, 0

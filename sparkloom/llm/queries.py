@@ -13,6 +13,7 @@ from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+ADDED = bpe.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), "text", RANKS, PATTERN)
+    lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents"), "text", RANKS, PATTERN, ADDED)
     return token_counts.length_histogram(lengths)
 
 
@@ -63,7 +64,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", RANKS, PATTERN)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", RANKS, PATTERN, added=ADDED)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

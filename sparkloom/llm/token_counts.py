@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import fast_encoder
+from .bpe import fast_encoder, with_added
 from .common import groups, pick
 
 
-def encoded_lengths(df: DataFrame, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
-    """(n_tokens, n_docs) with one row for each length and batch; null texts have length 0."""
+def encoded_lengths(df: DataFrame, text_col: str, ranks_path: str, pattern: str, added: Mapping[str, int] | None = None) -> DataFrame:
+    """(n_tokens, n_docs) with one row for each length and batch; null texts have length 0.  Strings of ``added`` tokens count as one."""
     with open(ranks_path, "rb") as f:
         vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = fast_encoder(vocabulary.value, pattern).encode_ordinary
+        encode = with_added(fast_encoder(vocabulary.value, pattern).encode_ordinary, added or {})
         for batch in batches:
             counts: dict[int, int] = {}
             for some in groups(batch.column("text")):

@@ -158,6 +158,17 @@ def test_pack_documents(spark, tokenizer):
     assert packing.pack_documents(df.limit(0), "id", "body", RANKS, PATTERN).count() == 0
 
 
+def test_added_tokens_as_the_tokenizer_has_them(spark, tmp_path):
+    loaded = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [*TEXTS, f"a{end}b", end, end * 3, f" {end} ", f"a  {end}\n\n b{end[:-1]} {end}>", f"<|{end}", end.upper()]
+    want = [loaded.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[len(TEXTS)] == [64, 50256, 65]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check_packing(queries.op10_packing(spark, str(tmp_path)).collect(), {k: [*ids, 1] for k, ids in enumerate(want)})
+    assert {r["n_tokens"]: r["n_docs"] for r in queries.op6_token_counts(spark, str(tmp_path)).collect()} == Counter(map(len, want))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 90), max_size=80), st.integers(1, 6))
 def test_sum_of_squares(lengths, most):
