@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import line_dedup, neardup, packing, toxicity
 from sparkloom.llm.common import shared_folder, table
-from sparkloom.llm.queries import PATTERN, RANKS
+from sparkloom.llm.queries import ADDED, PATTERN, RANKS
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, "doc_id", "text", RANKS, PATTERN)
+    return packing.pack_documents(docs, "doc_id", "text", RANKS, PATTERN, added=ADDED)
 
 
 STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup_stage), ("packing", packing_stage)]
