@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, groups, pick, release_shuffles
+from .common import cut_lineage, fresh, groups, pick, release_shuffles
 
 SHINGLE = 5
 BINS, BANDS, ROWS = 128, 32, 4
@@ -360,10 +360,22 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``df`` that are kept, all columns as they were."""
-    found = near_duplicates(df, id_col, text_col)
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(kept, df[f"`{id_col}`"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One row of ``df`` for each group, all columns as they were; rows without words stay.
+
+    It is that of the least id (null last), of the least text hash among these, and
+    any one of the rows that are equal in both.
+    """
+    key, id_, text = fresh(df, "_near_key"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    # an id of its own for each text, so no two texts share what decides
+    keyed = df.withColumn(key, F.struct(id_.isNull().alias("none"), id_.alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text")))
+    found = near_duplicates(keyed, key, text_col).where("kept")
+    many = (F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)
+    kept = cut_lineage(found.groupBy("doc_id").agg(many.alias("many")).withColumnRenamed("doc_id", "_kept_id"))
+    some, repeated = kept.where("not many"), kept.where("many")
+    out = keyed.join(some, keyed[key] == some["_kept_id"], "left_semi")
+    if not repeated.isEmpty():
+        out = out.union(keyed.join(repeated, keyed[key] == repeated["_kept_id"], "left_semi").dropDuplicates([key]))
+    return out.drop(key)
 
 
 def oracle(table: str = "documents") -> str:

@@ -287,6 +287,19 @@ def test_near_duplicates_edge_tables(spark):
     assert kept.columns == docs_frame(spark, []).columns and kept.count() == sum(v[2] for v in near_groups(near_fixture()).values())
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    base = words("near", 60)
+    near, far = base + " tail", words("far", 60)
+    texts = [(7, base), (7, near), (7, base), (9, base), (None, base), (None, far), (None, far), (5, None), (5, None), (6, ""), (None, " ")]
+    texts += [(3, far + " end"), (3, words("third", 60)), (None, words("fourth", 60)), (None, words("fourth", 60) + " tail")]
+    kept = neardup.drop_near_duplicates(docs_frame(spark, texts), "id", "body")
+    assert kept.columns == docs_frame(spark, []).columns
+    md5 = lambda t: hashlib.md5(t.encode()).digest()
+    fourth = min(texts[-2][1], texts[-1][1], key=md5)
+    want = [(7, min(base, near, key=md5)), (3, far + " end"), (3, words("third", 60)), (None, fourth), (5, None), (5, None), (6, ""), (None, " ")]
+    assert sorted(map(repr, ((r["id"], r["body"]) for r in kept.collect()))) == sorted(map(repr, want))
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     for n in (1, 2, 30, 127, 128, 5000):
