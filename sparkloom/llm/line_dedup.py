@@ -1,22 +1,22 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-A line's tokens are its runs of non-blank characters; tokens with a digit are
-masked as ``<*>``, unless these are more than half of them.  The tree has fixed depth: token count, then the leading
-``DEPTH`` masked tokens.  In a leaf the most frequent token of each position (by
-the number of texts) is constant if it has at least half of the texts, else the
-position is a variable field.  Lines that agree with the constants in
-``SIMILAR`` of all positions share the leaf's template; every other line is its
-own template.  A template that recurs in ``MIN_TEXTS`` different texts or more is
-dropped, but for the text of the lowest document id that has it, and copies of
-that text.  So exact copies of a document stay copies, and a passage that runs
-through many documents is kept once.
-
-The whole rule (``whole=True``; not in the SQL) asks fewer texts of longer lines,
-which do not repeat by chance: see ``STEPS``.  Lines beside the leaf's template get
-templates of their own: each keeps the ``SIMILAR`` part of its tokens that most
-texts of the leaf share at that position, and equal selections are one template,
-so a leaf holds any number of them, also amid unrelated lines.  Lines are masked
-as soon as one token has no digit, and masked tokens don't count for ``STEPS``.
+A line's tokens are its runs of characters other than blank, tab and carriage return;
+tokens with a digit are masked as ``<*>``, unless all tokens have one.  The tree has
+fixed depth: token count, then the ``DEPTH`` leading tokens (of shorter lines half of
+the tokens).  Lines that a variable field among these leads to different leaves meet in
+a second leaf, which has wildcards for them and goes by the next ``DEPTH`` tokens; it
+counts only where its lines come from different first leaves.
+
+A leaf holds any number of templates.  In a leaf each line keeps those tokens that most
+texts share at their positions: as many as make up the ``SIMILAR`` part of the line, and
+those of the same weight.  The rest are variable fields, and lines that keep the same
+tokens share a template.  Unrelated lines in the leaf keep others and change nothing.
+
+A line goes if it, masked, recurs in enough different texts, or if its template does.
+The more constant words, the fewer texts are enough, as long lines do not recur by
+chance (``SAME``, ``LIKE``).  It stays in the text of the lowest document id that has
+it, and in copies of that text: so a passage that runs through many documents is kept
+once, and exact copies of a document stay copies.
 """
 
 from __future__ import annotations
@@ -24,144 +24,164 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh, pick, release_shuffles
+from .common import cut_lineage, fresh, pick
 
 DEPTH, SIMILAR, MIN_TEXTS, MIN_TOKENS = 3, 0.75, 10, 3
-#: By the whole rule, lines of so many tokens or more need so many different texts; shorter ones need ``MIN_TEXTS``.
-STEPS = ((20, 2), (8, 3))
-_BLANK = " \\t\\r\\x0B\\f"
+#: Lines of so many constant words or more go if so many different texts have them; shorter ones need ``MIN_TEXTS``.
+SAME = ((20, 2), (8, 3))
+#: The same for lines that share a template only.
+LIKE = ((20, 3), (8, 5))
+_LINE, _TEXT = ["l1", "l2"], ["t1", "t2"]
 
 
-def _tidy(text: Column) -> Column:
-    """One space between tokens, none at the ends of lines; most texts are so already."""
-    spaced = F.regexp_replace(text, f"[{_BLANK}]+", " ")
-    # plain searches for bytes are far cheaper than a pattern of alternatives
-    odd = text.startswith(" ") | text.endswith(" ")
-    for part in ("\t", "\r", "\x0b", "\f", "  ", " \n", "\n "):
-        odd = odd | text.contains(part)
-    return F.when(odd, F.regexp_replace(spaced, "^ | $|(?<=\\n) | (?=\\n)", "")).otherwise(text)
+def _hashes(names: list[str], *parts: Column) -> list[Column]:
+    """128 bits in two columns that aggregate and join as plain numbers."""
+    return [F.xxhash64(F.lit(k), *parts).alias(n) for k, n in enumerate(names)]
 
 
-def _masked(line: Column, whole: bool) -> Column:
-    """Tokens with digits as ``<*>``; a line that is mostly such tokens (by the whole rule: has no others) stays as it is."""
-    masked = F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")
-    count = lambda c, of: F.length(c) - F.length(F.replace(c, F.lit(of), F.lit(of[1:])))
-    return F.when(line.rlike("[0-9]"), F.when((1 if whole else 2) * count(masked, "<*>") > count(line, " ") + (0 if whole else 1), line).otherwise(masked)).otherwise(line)
+def _even(text: Column) -> Column:
+    """Single blanks between tokens; most texts are so already, and plain searches are far cheaper than a pattern."""
+    odd = text.contains("\t") | text.contains("\r") | text.contains("  ")
+    return F.when(odd, F.regexp_replace(text, "[ \\t\\r]+", " ")).otherwise(text)
 
 
-def _key(*parts: Column) -> Column:
-    return F.unhex(F.md5(F.concat_ws(" ", *parts)))
+def _masked(line: Column) -> Column:
+    """Tokens with digits as ``<*>``; a line that has no others stays as it is."""
+    masked = F.regexp_replace(line, "[^ 0-9]*+[0-9][^ ]*+", "<*>")
+    return F.when(line.rlike("[0-9]"), F.when(F.length(F.replace(F.replace(masked, F.lit("<*>"), F.lit("")), F.lit(" "), F.lit(""))) > 0, masked).otherwise(line)).otherwise(line)
 
 
-def _lines(plain: DataFrame, whole: bool) -> DataFrame:
-    """(doc_id, text_key, at, masked, n) of every line that has enough tokens, from (doc_id, text_key, text)."""
-    # what is computed below the explode is computed once for each text
-    rows = plain.select("doc_id", "text_key", F.transform(F.split(_tidy(F.col("text")), "\n"), lambda line: _masked(line, whole)).alias("all"))
-    rows = rows.select("doc_id", "text_key", F.posexplode("all").alias("at", "masked"))
-    return rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_TOKENS)
+def _lines(plain: DataFrame) -> DataFrame:
+    """``plain`` without its text, and (at, masked, n) of every line that has enough tokens."""
+    kept = [c for c in plain.columns if c != "text"]
+    rows = plain.select(*kept, F.posexplode(F.split(_even(F.col("text")), "\n")).alias("at", "line"))
+    rows = rows.select(*kept, "at", F.trim("line").alias("line")).where(F.instr("line", " ") > 0)
+    rows = rows.select(*kept, "at", _masked(F.col("line")).alias("masked"))
+    return rows.withColumn("n", F.size(F.split("masked", " "))).where(F.col("n") >= MIN_TOKENS)
 
 
-def _leaf() -> Column:
-    return _key(F.col("n").cast("string"), F.substring_index("masked", " ", DEPTH))
+def _leaves() -> tuple[Column, Column]:
+    """The leaf by the leading tokens, and the one by those after them (none for lines of under four tokens)."""
+    n, m = F.col("n"), F.col("masked")
+    lead = F.least(F.lit(DEPTH), F.floor(n / 2).cast("int"))
+    head = F.substring_index(m, " ", DEPTH)
+    short = F.concat_ws(" ", F.slice(F.split(m, " "), 1, lead))
+    a = F.when(n >= 2 * DEPTH, F.xxhash64(n, head)).when(n <= DEPTH, F.xxhash64(n, m)).otherwise(F.xxhash64(n, short))
+    after = F.substring_index(F.substring_index(m, " ", 2 * DEPTH), " ", -DEPTH)
+    rest = F.concat_ws(" ", F.slice(F.split(m, " "), lead + 1, F.lit(DEPTH)))
+    b = F.when(n >= 2 * DEPTH, F.xxhash64(n, F.lit(1), after)).when(n > DEPTH, F.xxhash64(n, F.lit(1), rest))
+    return a.alias("a"), b.alias("b")
 
 
-def _needed(min_texts: int, whole: bool) -> Column:
-    """The number of different texts that a line of ``n`` tokens must occur in to go."""
+def _needed(words: Column, steps: tuple, min_texts: int) -> Column:
+    """The number of different texts that so many constant words must occur in to go."""
     out = F.lit(min_texts)
-    for tokens, texts in reversed(STEPS if whole else ()):
-        out = F.when(F.col("n") >= tokens, F.lit(min(texts, min_texts))).otherwise(out)
+    for least, texts in reversed(steps):
+        out = F.when(words >= least, F.lit(min(texts, min_texts))).otherwise(out)
     return out
 
 
-def _further(rest: DataFrame, enough: Column) -> DataFrame:
-    """(line, template, n) of lines that share a template beside that of their leaf."""
-    each = rest.select("line", "leaf", "n", "texts", F.posexplode("tokens").alias("i", "token"))
-    common = each.groupBy("leaf", "i", "token").agg(F.sum("texts").alias("texts"), F.min("n").alias("n")).where(enough).select("leaf", "i", "token", F.col("texts").alias("w"))
-    held = each.join(common, ["leaf", "i", "token"]).groupBy("line", "leaf", "n").agg(F.sort_array(F.collect_list(F.struct("w", "i", "token")), asc=False).alias("held"))
-    # the least weight that still leaves the part of the tokens asked for
+def _legs(lines: DataFrame, *columns: str) -> DataFrame:
+    """A row for each of a line's leaves, with its first leaf beside it."""
+    both = F.filter(F.array("a", "b"), lambda x: x.isNotNull())
+    return lines.select(*columns, "a", F.explode(both).alias("leaf"))
+
+
+def _mixed() -> Column:
+    """Is it a first leaf (which is its lines' own), or does it have lines of different first leaves?"""
+    return (F.min("a") != F.max("a")) | (F.min("a") == F.min("leaf"))
+
+
+def _templates(forms: DataFrame, min_texts: int) -> DataFrame:
+    """(line, template, words) from distinct lines (line, a, b, texts, tokens); a line may have a template in each of its leaves."""
+    least = min([t for _, t in LIKE] + [min_texts])
+    legs = _legs(forms.withColumn("n", F.size("tokens")), *_LINE, "texts", "n", "tokens")
+    wide = legs.groupBy("leaf").agg(F.sum("texts").alias("all"), F.max("n").alias("n"), F.count(F.lit(1)).alias("lines"), _mixed().alias("mixed"))
+    wide = wide.where((F.col("all") >= _needed(F.col("n"), LIKE, min_texts)) & (F.col("lines") > 1) & F.col("mixed")).select("leaf")
+    each = legs.join(wide, "leaf", "left_semi").select(*_LINE, "leaf", "n", "texts", F.posexplode("tokens").alias("i", "token"))
+    common = each.groupBy("leaf", "i", "token").agg(F.sum("texts").alias("w")).where(F.col("w") >= least)
+    held = each.select(*_LINE, "leaf", "n", "i", "token").join(common, ["leaf", "i", "token"])
+    held = held.groupBy(*_LINE, "leaf", "n").agg(F.sort_array(F.collect_list(F.struct("w", "i", "token")), asc=False).alias("held"))
     rank = F.ceil(SIMILAR * F.col("n")).cast("int")
     held = held.where(F.size("held") >= rank).withColumn("least", F.get("held", rank - 1)["w"])
     held = held.withColumn("held", F.array_sort(F.transform(F.filter("held", lambda x: x["w"] >= F.col("least")), lambda x: F.struct(x["i"].alias("i"), x["token"].alias("token")))))
-    held = held.where(F.exists("held", lambda x: x["token"] != "<*>"))
-    return held.select("line", _key(F.hex("leaf"), F.to_json("held")).alias("template"), "n")
+    words = F.size(F.filter("held", lambda x: x["token"] != "<*>"))
+    return held.select(*_LINE, *_hashes(["p1", "p2"], F.col("leaf"), F.col("held")), words.alias("words")).where("words > 0")
 
 
-def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int, whole: bool) -> DataFrame:
-    """(text_key, gone): for every text that loses lines, the positions of these."""
-    enough = F.col("texts") >= _needed(min_texts, whole)
+def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> DataFrame:
+    """(t1, t2, gone): for every text that loses lines, the positions of these."""
     plain = pick(df, doc_id=id_col, text=text_col).where("text is not null and text != ''")
-    plain = plain.withColumn("text_key", _key(F.col("text")))
-    lines = _lines(plain, whole)
-    # masked tokens make no line less likely to repeat by chance
-    weight = F.size(F.filter(F.split("masked", " "), lambda t: t != "<*>")) if whole else F.col("n")
-    seen = lines.select("doc_id", "text_key", "at", weight.alias("n"), _leaf().alias("leaf"), _key(F.col("masked")).alias("line"))
-    seen = cut_lineage(seen.groupBy("line", "text_key").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.min("doc_id").alias("doc"), F.collect_set("at").alias("ats")))
-    release_shuffles(df.sparkSession)
-    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_key")).alias("first")
-    stats = seen.groupBy("line").agg(F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.count(F.lit(1)).alias("texts"), first)
-
-    # leaves where several lines together are frequent enough for a template
-    open_leaves = stats.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.max("n").alias("n"), F.count(F.lit(1)).alias("lines")).where(enough & (F.col("lines") > 1)).select("leaf")
-    wanted = cut_lineage(stats.join(open_leaves, "leaf", "left_semi").select("line", "leaf", "texts", F.col("first.text_key").alias("owner")))
-    # the words of these lines, from one text each
-    owners = plain.join(wanted.select(F.col("owner").alias("text_key")).distinct(), "text_key", "left_semi")
-    spelled = _lines(owners, whole).select(_key(F.col("masked")).alias("line"), "masked").join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.max("masked").alias("masked"))
-    forms = cut_lineage(wanted.join(spelled, "line").select("line", "leaf", "texts", F.split("masked", " ").alias("tokens")))
-    tokens = forms.select("leaf", "texts", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").agg(F.sum("texts").alias("w"))
-    tops = tokens.groupBy("leaf", "i").agg(F.max(F.struct("w", "token")).alias("top"), F.sum("w").alias("all"))
-    constant = F.when((2 * F.col("top.w") >= F.col("all")) & (F.col("top.token") != "<*>"), F.col("top.token"))
-    trees = tops.select("leaf", "i", constant.alias("token")).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("parts")).select("leaf", F.col("parts.token").alias("template"))
-    same = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda x, y: x + y)
-    release_shuffles(df.sparkSession)
-    grouped = forms.join(trees, "leaf").where(same >= SIMILAR * F.size("tokens")).select("line", F.col("leaf").alias("template"))
-
-    if whole:
-        grouped = cut_lineage(grouped)
-        rest = forms.withColumn("n", F.size("tokens")).join(grouped, "line", "left_anti")
-        grouped = grouped.unionByName(cut_lineage(_further(rest, enough).select("line", "template")))
-        release_shuffles(df.sparkSession)
-
-    shared = seen.join(grouped, "line").groupBy("template", "text_key").agg(F.min("doc").alias("doc"), F.min("n").alias("n"))
-    shared = shared.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("n").alias("n"), first).where(enough)
-    dropped = grouped.join(shared, "template").select("line", F.col("first.text_key").alias("owner"))
-    alone = stats.where(enough).join(grouped, "line", "left_anti").select("line", F.col("first.text_key").alias("owner"))
-    gone = seen.join(dropped.unionByName(alone), "line").where("text_key != owner")
-    return gone.select("text_key", F.explode("ats").alias("at")).groupBy("text_key").agg(F.collect_set("at").alias("gone"))
+    plain = plain.select("doc_id", "text", *_hashes(_TEXT, F.col("text")))
+    masks = F.when(F.col("masked").contains("<*>"), F.size(F.filter(F.split("masked", " "), lambda t: t == "<*>"))).otherwise(0)
+    rows = _lines(plain).select("doc_id", *_TEXT, "at", *_hashes(_LINE, F.col("masked")), *_leaves(), "n", (F.col("n") - masks).alias("words"))
+    seen = rows.groupBy(*_LINE, *_TEXT, "at").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("a", "b", "words")])
+
+    # leaves with rows enough for a line or a template to go; all other rows are done with
+    busy = _legs(seen, "l1", "words").groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.max("words").alias("words"), _mixed().alias("mixed"))
+    busy = busy.where((F.col("rows") >= _needed(F.col("words"), SAME, min_texts)) & F.col("mixed")).select("leaf")
+    some = _legs(seen, *_LINE, *_TEXT, "at", "doc", "b", "words").join(busy, "leaf", "left_semi").drop("leaf").distinct()
+    some = cut_lineage(some)
+
+    # a line's owner: the text of the lowest id that has it
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", *_TEXT)).alias("first")
+    pairs = some.groupBy(*_LINE, *_TEXT).agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("a", "b", "words")])
+    lines = pairs.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("texts"), first, *[F.first(c).alias(c) for c in ("a", "b", "words")])
+    owner = [F.col(f"first.{c}").alias(o) for c, o in zip(_TEXT, ("o1", "o2"))]
+    same = lines.where(F.col("texts") >= _needed(F.col("words"), SAME, min_texts)).select(*_LINE, *owner)
+
+    # lines that may share a template, spelled out from one text each
+    legs = _legs(lines, *_LINE, "texts", "words")
+    wide = legs.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.max("words").alias("words"), F.count(F.lit(1)).alias("lines"), _mixed().alias("mixed"))
+    wide = wide.where((F.col("texts") >= _needed(F.col("words"), LIKE, min_texts)) & (F.col("lines") > 1) & F.col("mixed")).select("leaf")
+    wanted = legs.join(wide, "leaf", "left_semi").select(*_LINE).distinct().join(lines.select(*_LINE, "a", "b", "texts", *owner), _LINE)
+    wanted = cut_lineage(wanted)
+    owners = plain.join(wanted.select(F.col("o1").alias("t1"), F.col("o2").alias("t2")).distinct(), _TEXT, "left_semi")
+    spelled = _lines(owners.select("text")).select(*_hashes(_LINE, F.col("masked")), "masked").join(wanted.select(*_LINE), _LINE, "left_semi").dropDuplicates(_LINE)
+    forms = wanted.join(spelled, _LINE).select(*_LINE, "a", "b", "texts", F.split("masked", " ").alias("tokens"))
+    grouped = cut_lineage(_templates(cut_lineage(forms), min_texts))
+
+    pattern = ["p1", "p2"]
+    shared = pairs.select(*_LINE, *_TEXT, "doc").join(grouped, _LINE).groupBy(*pattern, *_TEXT).agg(F.min("doc").alias("doc"), F.first("words").alias("words"))
+    shared = shared.groupBy(*pattern).agg(F.count(F.lit(1)).alias("texts"), F.first("words").alias("words"), first)
+    shared = shared.where(F.col("texts") >= _needed(F.col("words"), LIKE, min_texts)).select(*pattern, *owner)
+    dropped = grouped.join(shared, pattern).select(*_LINE, "o1", "o2").unionByName(same)
+    gone = some.select(*_LINE, *_TEXT, "at").join(dropped, _LINE).where("t1 != o1 or t2 != o2")
+    return gone.groupBy(*_TEXT).agg(F.collect_set("at").alias("gone"))
 
 
 def _apply(df: DataFrame, text_col: str, gone: DataFrame) -> tuple[DataFrame, Column, Column]:
     """``df`` with the positions that go, the text that is left, and these positions (null: none)."""
-    key, at = fresh(df, "_text_key"), fresh(df, "_gone")
-    text, drop = F.col(f"`{text_col}`"), F.col(at)
-    keyed = df.withColumn(key, _key(F.coalesce(text, F.lit(""))))
-    joined = keyed.join(gone.withColumnsRenamed({"text_key": key, "gone": at}), key, "left")
-    lines = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
-    kept = F.when(drop.isNull(), text).otherwise(F.concat_ws("\n", F.transform(left, lambda i: F.get(lines, i))))
-    return joined, kept, drop
+    names = [fresh(df, n) for n in ("_text_key", "_text_check", "_gone")]
+    text, drop = F.col(f"`{text_col}`"), F.col(names[2])
+    keyed = df.select("*", *_hashes(names[:2], F.coalesce(text, F.lit(""))))
+    joined = keyed.join(gone.toDF(*names), names[:2], "left")
+    # the array around the lines makes them a variable, so the text is split once
+    rest = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), drop)
+    left = F.transform(F.array(F.split(text, "\n")), lambda ls: F.concat_ws("\n", F.transform(rest(ls), lambda i: F.get(ls, i))))
+    return joined, F.when(drop.isNull(), text).otherwise(F.get(left, F.lit(0))), drop
 
 
-def dedup_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_TEXTS, whole: bool = False) -> DataFrame:
-    """Drop the lines of recurring templates.
+def dedup_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """Drop the lines that recur, as they are or by their template.
 
     One row per input row: ``doc_id``, ``n_lines``, ``n_dropped``, ``kept_text``.
     Lines are split at ``\\n``; lines of fewer than ``MIN_TOKENS`` tokens are never
     dropped.  A null text has no lines and stays null, an empty one has one
-    (blank) line.  Null ids own a template only if no other id has it.  Repeated
-    rows count as one text.  An empty table gives no rows.  ``whole`` takes the
-    whole rule instead of that of the SQL.
+    (blank) line.  Null ids own a line only if no other id has it.  Repeated
+    rows count as one text.  An empty table gives no rows.
     """
     plain = pick(df, doc_id=id_col, text=text_col)
-    joined, kept, drop = _apply(plain, "text", _gone_lines(plain, "doc_id", "text", min_texts, whole))
+    joined, kept, drop = _apply(plain, "text", _gone_lines(plain, "doc_id", "text", min_texts))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return joined.select("doc_id", n.alias("n_lines"), F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_TEXTS, whole: bool = False) -> DataFrame:
+def drop_recurring_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``df`` with its texts cut, all other columns as they were; texts of which nothing is left but blank lines are removed with their rows."""
-    joined, kept, drop = _apply(df, text_col, _gone_lines(df, id_col, text_col, min_texts, whole))
-    some = drop.isNull() | (F.length(F.regexp_replace(kept, r"\s+", "")) > 0)
-    return joined.where(some).select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    joined, kept, drop = _apply(df, text_col, _gone_lines(df, id_col, text_col, min_texts))
+    cut = joined.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns], drop)
+    return cut.where(drop.isNull() | F.col(f"`{text_col}`").rlike("\\S")).drop(drop)
 
 
 def with_char_counts(df: DataFrame, text_col: str, count_col: str) -> DataFrame:
@@ -170,32 +190,35 @@ def with_char_counts(df: DataFrame, text_col: str, count_col: str) -> DataFrame:
     return df.select(*[n.cast(f.dataType).alias(f.name) if f.name == count_col else F.col(f"`{f.name}`") for f in df.schema])
 
 
+def _needed_sql(words: str, steps: tuple, min_texts: int) -> str:
+    return "CASE " + " ".join(f"WHEN {words} >= {n} THEN {min(t, min_texts)}" for n, t in steps) + f" ELSE {min_texts} END"
+
+
 def oracle(table: str = "documents", min_texts: int = MIN_TEXTS) -> str:
-    """DuckDB SQL for (doc_id, n_lines, n_dropped, n_chars, kept_sha256)."""
-    blank = " \\t\\r\\x0B\\f"
+    """DuckDB SQL for (doc_id, n_lines, n_dropped, n_chars, kept_sha256), over all lines and by tokens, without hashes or early filters."""
+    owner = "arg_min(text, (doc IS NULL, doc, md5(text)))"
     return f"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM {table}),
+WITH docs AS (SELECT doc_id, text FROM {table}),
 lines AS (SELECT doc_id, text, i - 1 AS pos, string_split(text, chr(10))[i] AS line
           FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs WHERE text IS NOT NULL AND text != '')),
-clean AS (SELECT doc_id, text, pos, regexp_replace(regexp_replace(line, '^[{blank}]+|[{blank}]+$', '', 'g'), '[{blank}]+', ' ', 'g') AS p FROM lines),
-both_ AS (SELECT *, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS q FROM clean),
-masked AS (SELECT doc_id, text, pos, CASE WHEN regexp_matches(p, '[0-9]') AND 2 * (length(q) - length(replace(q, '<*>', '*>'))) <= length(p) - length(replace(p, ' ', '')) + 1 THEN q ELSE p END AS m FROM both_),
-toks AS (SELECT *, string_split(m, ' ') AS tokens, len(string_split(m, ' ')) AS n FROM masked),
-seen AS (SELECT m, text, n, tokens, tokens[1:{DEPTH}] AS lead, min(doc_id) AS doc FROM toks WHERE n >= {MIN_TOKENS} GROUP BY m, text, n, tokens),
-stats AS (SELECT m, n, lead, any_value(tokens) AS tokens, count(*) AS texts, arg_min(text, (doc IS NULL, doc, md5(text))) AS owner FROM seen GROUP BY m, n, lead),
-leaves AS (SELECT n, lead FROM stats GROUP BY n, lead HAVING sum(texts) >= {min_texts} AND count(*) > 1),
-forms AS (SELECT s.* FROM stats s JOIN leaves l ON s.n = l.n AND s.lead = l.lead),
-parts AS (SELECT n, lead, i, tokens[i] AS token, sum(texts) AS w FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM forms) GROUP BY n, lead, i, tokens[i]),
-tops AS (SELECT n, lead, i, arg_max(token, (w, token)) AS token, max(w) AS w, sum(w) AS total FROM parts GROUP BY n, lead, i),
-agree AS (SELECT f.m, f.n, f.lead FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM forms) f
-          JOIN tops t ON f.n = t.n AND f.lead = t.lead AND f.i = t.i
-          GROUP BY f.m, f.n, f.lead
-          HAVING sum(CASE WHEN 2 * t.w >= t.total AND t.token != '<*>' AND f.tokens[f.i] = t.token THEN 1 ELSE 0 END) >= {SIMILAR} * f.n),
-shared AS (SELECT n, lead, count(DISTINCT text) AS texts, arg_min(text, (doc IS NULL, doc, md5(text))) AS owner
-           FROM (SELECT a.n, a.lead, s.text, min(s.doc) AS doc FROM seen s JOIN agree a ON s.m = a.m GROUP BY a.n, a.lead, s.text) GROUP BY n, lead),
-dropped AS (SELECT a.m, s.owner FROM agree a JOIN shared s ON a.n = s.n AND a.lead = s.lead WHERE s.texts >= {min_texts}
-            UNION ALL SELECT m, owner FROM stats WHERE texts >= {min_texts} AND m NOT IN (SELECT m FROM agree)),
-gone AS (SELECT DISTINCT t.text, t.pos FROM toks t JOIN dropped d ON t.m = d.m WHERE t.n >= {MIN_TOKENS} AND t.text != d.owner),
+clean AS (SELECT doc_id, text, pos, trim(regexp_replace(line, '[ \\t\\r]+', ' ', 'g')) AS p FROM lines),
+raw AS (SELECT doc_id, text, pos, string_split(p, ' ') AS plain, list_transform(string_split(p, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS hidden FROM clean),
+toks AS (SELECT doc_id, text, pos, len(plain) AS n, CASE WHEN len(list_filter(hidden, lambda t: t != '<*>')) > 0 THEN hidden ELSE plain END AS tokens FROM raw WHERE len(plain) >= {MIN_TOKENS}),
+seen AS (SELECT tokens, text, n, min(doc_id) AS doc FROM toks GROUP BY ALL),
+same AS (SELECT tokens, count(*) AS texts, {owner} AS owner, n, len(list_filter(tokens, lambda t: t != '<*>')) AS words,
+                CASE WHEN n <= {DEPTH} THEN tokens ELSE tokens[1:least({DEPTH}, n // 2)] END AS a, CASE WHEN n > {DEPTH} THEN tokens[least({DEPTH}, n // 2) + 1:least({DEPTH}, n // 2) + {DEPTH}] END AS b
+         FROM seen GROUP BY tokens, n),
+legs AS (SELECT tokens, texts, n, a, 'a' AS kind, a AS leaf FROM same UNION ALL SELECT tokens, texts, n, a, 'b', b FROM same WHERE b IS NOT NULL),
+open_ AS (SELECT kind, n, leaf FROM legs GROUP BY kind, n, leaf HAVING kind = 'a' OR min(a) != max(a)),
+each_ AS (SELECT kind, n, leaf, texts, tokens, i, tokens[i] AS token FROM (SELECT legs.*, unnest(range(1, n + 1)) AS i FROM legs SEMI JOIN open_ USING (kind, n, leaf))),
+weights AS (SELECT kind, n, leaf, i, token, sum(texts) AS w FROM each_ GROUP BY ALL),
+ranked AS (SELECT kind, n, leaf, tokens, i, token, w, row_number() OVER (PARTITION BY kind, n, leaf, tokens ORDER BY w DESC) AS place FROM each_ JOIN weights USING (kind, n, leaf, i, token)),
+least_ AS (SELECT kind, n, leaf, tokens, w AS least FROM ranked WHERE place = CAST(ceil({SIMILAR} * n) AS BIGINT)),
+held AS (SELECT kind, n, leaf, tokens, list((i, token) ORDER BY i) AS form, count(*) FILTER (token != '<*>') AS words FROM ranked JOIN least_ USING (kind, n, leaf, tokens) WHERE w >= least GROUP BY kind, n, leaf, tokens),
+members AS (SELECT h.kind, h.n, h.leaf, h.form, h.words, s.text, min(s.doc) AS doc FROM held h JOIN seen s USING (tokens) GROUP BY ALL),
+shared AS (SELECT kind, n, leaf, form, {owner} AS owner FROM members GROUP BY kind, n, leaf, form HAVING any_value(words) > 0 AND count(*) >= {_needed_sql('any_value(words)', LIKE, min_texts)}),
+dropped AS (SELECT tokens, owner FROM held JOIN shared USING (kind, n, leaf, form) UNION ALL SELECT tokens, owner FROM same WHERE texts >= {_needed_sql('words', SAME, min_texts)}),
+gone AS (SELECT DISTINCT t.text, t.pos FROM toks t JOIN dropped d USING (tokens) WHERE t.text != d.owner),
 kept AS (SELECT l.text, count(g.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS kept_text
          FROM (SELECT DISTINCT text, pos, line FROM lines) l LEFT JOIN gone g ON l.text = g.text AND l.pos = g.pos GROUP BY l.text)
 SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,

@@ -192,16 +192,57 @@ def lines_fixture():
     return out
 
 
-def test_line_dedup_equals_sql(spark):
+def kept_texts(spark, texts):
+    return {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(docs_frame(spark, texts), "id", "body").collect()}
+
+
+def words(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+
+
+def sql_rows(texts, min_texts=10):
     import pandas as pd
 
     con = duckdb.connect()
-    for texts in (lines_fixture(), [(i, t) for i, t in lines_fixture()][:0], [(None, "a b c d"), (None, "a b c d\nx y z w")] * 8):
-        con.register("docs_in", pd.DataFrame({"doc_id": pd.array([i for i, _ in texts], "Int64"), "text": pd.array([t for _, t in texts], "string")}))
-        want = sorted(map(repr, con.execute(line_dedup.oracle("docs_in", 10)).fetchall()))
+    con.register("docs_in", pd.DataFrame({"doc_id": pd.array([i for i, _ in texts], "Int64"), "text": pd.array([t for _, t in texts], "string")}))
+    return sorted(map(repr, con.execute(line_dedup.oracle("docs_in", min_texts)).fetchall()))
+
+
+def names(n):
+    return [words(f"name {k}", 1) for k in range(n)]
+
+
+def forms_fixture():
+    """Templates of one length that share a leaf, and those with variable words among the leading ones."""
+    forms = ["the job queue worker {} has started again", "the job queue gives {} up for now", "the job queue is {} and will close", "dear {} your order ships by monday noon", "{} wrote at noon and left a note", "{} {} {} went to see the old town hall by noon on foot"]
+    out = [(100 * f + k, f"{words(f'{f} {k}', 5)}\n{form.format(n, n + 'a', n + 'b')}") for f, form in enumerate(forms) for k, n in enumerate(names(16))]
+    # unrelated lines that begin alike, and lines like a template that are too few
+    out += [(5000 + k, f"the job queue {words(f'noise {k}', 5)}") for k in range(40)]
+    out += [(6000 + k, f"{words(f'few {k}', 5)}\nsix {n} of these words are fixed here") for k, n in enumerate(names(4))]
+    return out
+
+
+def test_line_dedup_equals_sql(spark):
+    for texts in (lines_fixture(), [], [(None, "a b c d"), (None, "a b c d\nx y z w")] * 8, forms_fixture()):
         kept = line_dedup.dedup_lines(docs_frame(spark, texts), "id", "body", 10).collect()
         got = [(r["doc_id"], r["n_lines"], r["n_dropped"], None if r["kept_text"] is None else len(r["kept_text"]), None if r["kept_text"] is None else hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in kept]
-        assert sorted(map(repr, got)) == want
+        assert sorted(map(repr, got)) == sql_rows(texts)
+
+
+def test_line_dedup_of_templates_in_one_leaf_and_variable_leading_words(spark):
+    texts = forms_fixture()
+    want = {i: t.split("\n")[0] if i < 5000 and i % 100 else t for i, t in texts}
+    assert kept_texts(spark, texts) == want
+
+
+def test_line_dedup_of_long_texts(spark):
+    own = "\n".join(words(f"long {k}", 6) for k in range(20_000))
+    texts = [(1, own), (2, own + "\nand one more line of it"), (3, "short")]
+    assert kept_texts(spark, texts) == {1: own, 2: own + "\nand one more line of it", 3: "short"}  # two texts are too few for six words
+    texts += [(10 + k, f"{own}\nthe {n} end") for k, n in enumerate(names(9))]
+    got = kept_texts(spark, texts)
+    assert got[1] == own and got[2] == "and one more line of it" and got[10].startswith("the ")
 
 
 def test_line_dedup_generalises_and_keeps(spark):
@@ -219,16 +260,7 @@ def test_line_dedup_generalises_and_keeps(spark):
     assert "Python" not in cut._jdf.queryExecution().executedPlan().toString()
 
 
-def kept_texts(spark, texts):
-    return {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(docs_frame(spark, texts), "id", "body", whole=True).collect()}
-
-
-def words(seed, n):
-    r = random.Random(seed)
-    return " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))
-
-
-def test_whole_line_dedup_of_few_texts(spark):
+def test_line_dedup_of_few_texts(spark):
     lengths = {3: 10, 7: 10, 8: 3, 19: 3, 20: 2, 60: 2}
     texts, want = [], {}
     for n, least in lengths.items():
@@ -241,7 +273,7 @@ def test_whole_line_dedup_of_few_texts(spark):
     assert kept_texts(spark, texts) == want | dict(texts[-12:])
 
 
-def test_whole_line_dedup_of_several_templates(spark):
+def test_line_dedup_of_several_templates(spark):
     names = "ann bob cid dan eve fay gus hal ida jon kim leo".split()
     forms = ["the user named {} left a short reply here", "the user named {} has reached another new level"]
     texts = [(100 * f + k, f"{words(f'{f} {k}', 5)}\n{form.format(n)}") for f, form in enumerate(forms) for k, n in enumerate(names)]
@@ -251,7 +283,7 @@ def test_whole_line_dedup_of_several_templates(spark):
     assert kept_texts(spark, texts + noise) == want | dict(noise)
 
 
-def test_whole_line_dedup_of_stamps(spark):
+def test_line_dedup_of_stamps(spark):
     texts = [(k, f"{words(f'own {k}', 5)}\n2026-11-{k + 10} 10:0{k % 9}:02 {k} login\n[12:{k}] 10.0.0.{k} {k + 400} GET 17") for k in range(12)]
     texts += [(100 + k, f"{words(f'table {k}', 5)}\n{k} {k + 1} {k + 2} {k + 3}") for k in range(12)]  # nothing constant
     texts += [(200 + k, f"{words(f'row {k}', 5)}\n" + " ".join(str(k * j + j) for j in range(25)) + " km") for k in range(3)]
