@@ -31,6 +31,8 @@ DEPTH, SIMILAR, MIN_TEXTS, MIN_TOKENS = 3, 0.75, 10, 3
 SAME = ((20, 2), (8, 3))
 #: The same for lines that share a template only.
 LIKE = ((20, 3), (8, 5))
+#: Bits of the filter that keeps most texts out of a shuffle: a broadcast of 4 MB at most, whatever the input.
+FILTER_BITS = 1 << 25
 _LINE, _TEXT = ["l1", "l2"], ["t1", "t2"]
 
 
@@ -84,7 +86,7 @@ def _needed(words: Column, steps: tuple, min_texts: int) -> Column:
 def _legs(lines: DataFrame, *columns: str) -> DataFrame:
     """A row for each of a line's leaves, with its first leaf beside it."""
     both = F.filter(F.array("a", "b"), lambda x: x.isNotNull())
-    return lines.select(*columns, "a", F.explode(both).alias("leaf"))
+    return lines.select(*columns, "a", F.explode(both).alias("leaf")).where(F.col("leaf").isNotNull())  # as a join would add, so uses share a shuffle
 
 
 def _mixed() -> Column:
@@ -92,6 +94,27 @@ def _mixed() -> Column:
     return (F.min("a") != F.max("a")) | (F.min("a") == F.min("leaf"))
 
 
+def _marked(rows: DataFrame, key: str, among: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows`` and a condition: false only for rows whose ``key`` (a hash) isn't ``among`` the keys, and for most of these.
+
+    The keys set bits in the pieces of a bitmap.  With very many keys most bits are
+    set, the condition holds for more rows, and a later exact join shuffles more.
+    """
+    at, bits = fresh(rows, "_piece"), fresh(rows, "_bits")  # no clash with columns of the rows
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    bit = F.pmod(place, F.lit(1 << 15))
+    found = among.groupBy(F.shiftright(place, 15).alias(at)).agg(F.bitmap_construct_agg(bit).alias(bits))
+    byte = F.conv(F.hex(F.substr(F.col(bits), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    held = rows.withColumn(at, F.shiftright(place, 15)).join(F.broadcast(found), at, "left").drop(at)
+    return held, F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+
+def _perhaps(rows: DataFrame, key: str, among: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't ``among`` the keys."""
+    held, marked = _marked(rows, key, among)
+    return held.where(marked).select(*rows.columns)
+
+
 def _templates(forms: DataFrame, min_texts: int) -> DataFrame:
     """(line, template, words) from distinct lines (line, a, b, texts, tokens); a line may have a template in each of its leaves."""
     least = min([t for _, t in LIKE] + [min_texts])
@@ -114,18 +137,21 @@ def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> Da
     plain = pick(df, doc_id=id_col, text=text_col).where("text is not null and text != ''")
     plain = plain.select("doc_id", "text", *_hashes(_TEXT, F.col("text")))
     masks = F.when(F.col("masked").contains("<*>"), F.size(F.filter(F.split("masked", " "), lambda t: t == "<*>"))).otherwise(0)
-    rows = _lines(plain).select("doc_id", *_TEXT, "at", *_hashes(_LINE, F.col("masked")), *_leaves(), "n", (F.col("n") - masks).alias("words"))
-    seen = rows.groupBy(*_LINE, *_TEXT, "at").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("a", "b", "words")])
+    rows = _lines(plain.drop("doc_id")).select(*_TEXT, "at", *_hashes(_LINE, F.col("masked")), *_leaves(), (F.col("n") - masks).alias("words"))
+    # both uses of this read all its columns, so it is made and shuffled once
+    seen = rows.groupBy(*_LINE, *_TEXT, "at").agg(*[F.first(c).alias(c) for c in ("a", "b", "words")])
 
     # leaves with rows enough for a line or a template to go; all other rows are done with
-    busy = _legs(seen, "l1", "words").groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.max("words").alias("words"), _mixed().alias("mixed"))
+    busy = _legs(seen, "words").groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.max("words").alias("words"), _mixed().alias("mixed"))
     busy = busy.where((F.col("rows") >= _needed(F.col("words"), SAME, min_texts)) & F.col("mixed")).select("leaf")
-    some = _legs(seen, *_LINE, *_TEXT, "at", "doc", "b", "words").join(busy, "leaf", "left_semi").drop("leaf").distinct()
-    some = cut_lineage(some)
+    some = _perhaps(_legs(seen, *_LINE, *_TEXT, "at", "b", "words"), "leaf", busy)
+    # dealt anew, so that Spark can split the rows of a leaf that very many have
+    some = cut_lineage(some.join(busy.hint("rebalance"), "leaf").drop("leaf").distinct())
 
     # a line's owner: the text of the lowest id that has it
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", *_TEXT)).alias("first")
-    pairs = some.groupBy(*_LINE, *_TEXT).agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("a", "b", "words")])
+    docs = plain.groupBy(*_TEXT).agg(F.min("doc_id").alias("doc"))
+    pairs = cut_lineage(some.groupBy(*_LINE, *_TEXT).agg(*[F.first(c).alias(c) for c in ("a", "b", "words")]).join(docs, _TEXT))
     lines = pairs.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("texts"), first, *[F.first(c).alias(c) for c in ("a", "b", "words")])
     owner = [F.col(f"first.{c}").alias(o) for c, o in zip(_TEXT, ("o1", "o2"))]
     same = lines.where(F.col("texts") >= _needed(F.col("words"), SAME, min_texts)).select(*_LINE, *owner)
@@ -136,7 +162,8 @@ def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> Da
     wide = wide.where((F.col("texts") >= _needed(F.col("words"), LIKE, min_texts)) & (F.col("lines") > 1) & F.col("mixed")).select("leaf")
     wanted = legs.join(wide, "leaf", "left_semi").select(*_LINE).distinct().join(lines.select(*_LINE, "a", "b", "texts", *owner), _LINE)
     wanted = cut_lineage(wanted)
-    owners = plain.join(wanted.select(F.col("o1").alias("t1"), F.col("o2").alias("t2")).distinct(), _TEXT, "left_semi")
+    holders = wanted.select(F.col("o1").alias("t1"), F.col("o2").alias("t2")).distinct()
+    owners = _perhaps(plain.select("text", *_TEXT), "t1", holders).join(holders, _TEXT)
     spelled = _lines(owners.select("text")).select(*_hashes(_LINE, F.col("masked")), "masked").join(wanted.select(*_LINE), _LINE, "left_semi").dropDuplicates(_LINE)
     forms = wanted.join(spelled, _LINE).select(*_LINE, "a", "b", "texts", F.split("masked", " ").alias("tokens"))
     grouped = cut_lineage(_templates(cut_lineage(forms), min_texts))
@@ -151,11 +178,18 @@ def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> Da
 
 
 def _apply(df: DataFrame, text_col: str, gone: DataFrame) -> tuple[DataFrame, Column, Column]:
-    """``df`` with the positions that go, the text that is left, and these positions (null: none)."""
+    """``df`` with the positions that go, the text that is left, and these positions (null: none).
+
+    Most texts that lose nothing are passed on without a shuffle.
+    """
     names = [fresh(df, n) for n in ("_text_key", "_text_check", "_gone")]
-    text, drop = F.col(f"`{text_col}`"), F.col(names[2])
+    text, drop = F.col(f"`{text_col}`"), F.col(f"`{names[2]}`")
     keyed = df.select("*", *_hashes(names[:2], F.coalesce(text, F.lit(""))))
-    joined = keyed.join(gone.toDF(*names), names[:2], "left")
+    gone = cut_lineage(gone.toDF(*names))
+    held, marked = _marked(keyed, names[0], gone.select(names[0]))
+    out = [F.col(f"`{c}`") for c in df.columns]
+    cut = held.where(marked).select(*out, *names[:2]).join(gone, names[:2], "left").select(*out, drop)
+    joined = cut.unionByName(held.where(~marked).select(*out, F.lit(None).cast(gone.schema[names[2]].dataType).alias(names[2])))
     # the array around the lines makes them a variable, so the text is split once
     rest = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), drop)
     left = F.transform(F.array(F.split(text, "\n")), lambda ls: F.concat_ws("\n", F.transform(rest(ls), lambda i: F.get(ls, i))))
