@@ -29,8 +29,9 @@ class SumOfSquares:
 
     At most ``max_open`` windows stay open: beyond that, the fullest one is topped
     up with the head of the document at hand, so memory is bounded and no space is
-    lost.  ``finish`` fills the windows left open from each other, cutting pieces,
-    and splits the last of them into sequences whose lengths are powers of two.
+    lost.  ``finish`` takes the emptiest open window apart, again and again, and places
+    its pieces by the same rule in the others, cut where a window is full.  The last
+    window is split into sequences whose lengths are powers of two.
     """
 
     def __init__(self, size: int = 2048, max_open: int = 1024):
@@ -40,16 +41,16 @@ class SumOfSquares:
         self.held: dict[int, list[Piece]] = {}  # open window -> its pieces
         self.next = 0
 
-    def _best(self, s: int) -> int:
+    def _best(self, s: int, cut: bool = False) -> int:
+        """The level for a piece of ``s`` tokens; ``cut``: in an open window if there is one, topped up if the piece is longer."""
         c, size = self.counts, self.size
-        h = np.flatnonzero(c[1 : size - s + 1]) + 1
-        best, least = 0, 2 * int(c[s]) + 1
-        if h.size:
-            after = np.where(h + s == size, 1 - 2 * c[h], 2 * (c[np.minimum(h + s, size)] - c[h]) + 2)
-            k = h.size - 1 - int(np.argmin(after[::-1]))
-            if after[k] <= least:
-                best = int(h[k])
-        return best
+        h = np.flatnonzero(c[1 : size if cut else size - s + 1]) + 1
+        if not h.size:
+            return 0
+        top = np.minimum(h + s, size)
+        after = np.where(top == size, 1 - 2 * c[h], 2 * (c[top] - c[h]) + 2)
+        k = h.size - 1 - int(np.argmin(after[::-1]))
+        return int(h[k]) if cut or after[k] <= 2 * int(c[s]) + 1 else 0
 
     def _put(self, h: int, piece: Piece) -> Iterator[Placed]:
         s = len(piece[2])
@@ -89,24 +90,27 @@ class SumOfSquares:
 
     def finish(self) -> Iterator[Placed]:
         """Close the windows that are still open, without padding."""
-        order = sorted(self.held, key=lambda w: (-sum(len(p[2]) for p in self.held[w]), w))
-        queue = [(w, p) for w in order for p in self.held[w]]
+        while len(self.held) > 1:
+            h = int(np.flatnonzero(self.counts)[0])
+            self.counts[h] -= 1
+            for key, start, ids, n in self.held.pop(self.level[h].pop()):
+                while len(ids):
+                    to = self._best(len(ids), cut=True)
+                    take = self.size - to
+                    yield from self._put(to, (key, start, ids[:take], n))
+                    start, ids = start + take, ids[take:]
+        pieces = [p for held in self.held.values() for p in held]
         self.held, self.level = {}, {}
         self.counts[:] = 0
-        total = sum(len(p[2]) for _, p in queue)
-        room = [self.size] * (total // self.size)
-        room += [1 << k for k in range(self.size.bit_length() - 1, -1, -1) if (total % self.size) >> k & 1]
-        pieces = iter(p for _, p in queue)
-        piece = next(pieces, None)
-        for space in room:
-            at = 0
-            while at < space:
-                key, start, ids, n = piece
-                take = min(len(ids), space - at)
-                yield self.next, at, (key, start, ids[:take], n)
-                at += take
-                piece = (key, start + take, ids[take:], n) if take < len(ids) else next(pieces, None)
-            self.next += 1
+        total, at, room = sum(len(p[2]) for p in pieces), 0, 0
+        for key, start, ids, n in pieces:
+            while len(ids):
+                if at == room:
+                    at, room, self.next = 0, 1 << total.bit_length() - 1, self.next + 1
+                    total -= room
+                take = min(len(ids), room - at)
+                yield self.next - 1, at, (key, start, ids[:take], n)
+                at, start, ids = at + take, start + take, ids[take:]
 
 
 def pack_documents(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, end_id: int = 1, size: int = 2048, max_open: int = 1024, added: Mapping[str, int] | None = None) -> DataFrame:

@@ -198,6 +198,28 @@ def test_level_minimises_squares():
         assert int((packer.counts**2).sum()) == min(options.values())
 
 
+def test_what_is_open_at_the_end_is_placed_by_the_rule():
+    """Many small splits: of the pieces under a window's size few are moved at the end, fewer are cut, and a cut closes a window."""
+    rng = random.Random(4)
+    kept = moved = cut = 0
+    for _ in range(32):
+        packer, at_end = packing.SumOfSquares(), {}
+        done = [p for k in range(320) for p in packer.add(k, np.zeros(max(1, min(20_000, int(rng.lognormvariate(6, 1)))), np.uint32))]
+        for window, pieces in packer.held.items():
+            at_end |= {(p[0], p[1]): window for p in pieces}
+        kept += sum(len(p[2][2]) < 2048 for p in done)
+        last = list(packer.finish())
+        final = {(p[0], p[1]): (w, len(p[2])) for w, _, p in last}
+        stay = sum(final.get(k, (None,))[0] == w for k, w in at_end.items())
+        kept, moved, cut = kept + stay, moved + len(at_end) - stay, cut + len(last) - len(at_end)
+        fill = Counter()
+        for w, _, p in [*done, *last]:
+            fill[w] += len(p[2])
+        short = sorted(n for n in fill.values() if n < 2048)
+        assert len(short) <= 11 and all(n & (n - 1) == 0 for n in short) and len(set(short)) == len(short)
+    assert moved < 0.05 * kept and cut < 0.3 * kept
+
+
 def test_queries_over_whole_tables(spark, sf_dir, reference):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert {r["doc_id"]: r["n_tokens"] for r in queries.op9_bpe(spark, sf_dir).collect()} == {k: len(reference.encode_ordinary(t)) for k, t in docs.items()}
