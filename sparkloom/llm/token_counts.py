@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import fast_encoder, with_added
-from .common import groups, pick
+from .common import cut_lineage, groups, pick
 
 
 def encoded_lengths(df: DataFrame, text_col: str, ranks_path: str, pattern: str, added: Mapping[str, int] | None = None) -> DataFrame:
@@ -41,7 +41,8 @@ def length_histogram(lengths: DataFrame, bucket: int = 256) -> DataFrame:
     The documents are aggregated before anything else, so only distinct lengths
     are summed; that is done in buckets of lengths with one offset for each bucket.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    # used twice below: the documents are encoded once
+    hist = cut_lineage(lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
     hist = hist.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("_b", F.floor(F.col("n_tokens") / bucket))
     # suffix sums over the buckets: as many rows as the longest document has `bucket`s of tokens
     after = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
