@@ -9,8 +9,10 @@ further inside are carved out.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -21,10 +23,40 @@ from pyspark.sql import DataFrame
 
 from .common import pick
 
-Validator = Callable[[memoryview, int], "int | None"]
 
 
-def _png(d: memoryview, at: int) -> int | None:
+class Data:
+    """Bytes, and the places of marks in them, looked for once however many objects ask."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        self.places: dict[bytes, list[int]] = {}
+        self.archives: dict[int, int] | None = None
+
+    def where(self, mark: bytes) -> list[int]:
+        if mark not in self.places:
+            self.places[mark] = [m.start() for m in re.finditer(re.escape(mark), self.raw)]
+        return self.places[mark]
+
+    def archive_ends(self) -> dict[int, int]:
+        """Start of a ZIP archive -> its end, by the first end record that tells that start."""
+        if self.archives is None:
+            self.archives, d = {}, self.raw
+            for e in self.where(b"PK\5\6"):
+                if e + 22 <= len(d):
+                    size, start, note = struct.unpack_from("<IIH", d, e + 12)
+                    at = e - size - start
+                    if at >= 0 and e + 22 + note <= len(d) and (size == 0 or d[at + start : at + start + 4] == b"PK\1\2"):
+                        self.archives.setdefault(at, e + 22 + note)
+        return self.archives
+
+
+#: Gives the length of the object at a place, if there is one.
+Validator = Callable[[Data, int], "int | None"]
+
+
+def _png(data: Data, at: int) -> int | None:
+    d = data.raw
     p, first = at + 8, True
     while p + 12 <= len(d):
         n, kind = struct.unpack_from(">I4s", d, p)
@@ -38,7 +70,8 @@ def _png(d: memoryview, at: int) -> int | None:
     return None
 
 
-def _jpeg(d: memoryview, at: int) -> int | None:
+def _jpeg(data: Data, at: int) -> int | None:
+    d = data.raw
     p, frame = at + 2, False
     while p + 4 <= len(d) and d[p] == 0xFF:
         kind = d[p + 1]
@@ -54,8 +87,8 @@ def _jpeg(d: memoryview, at: int) -> int | None:
             if not frame:
                 return None
             while p + 1 < len(d):  # entropy-coded data up to a marker that is neither stuffing nor a restart
-                p = bytes(d[p : p + 65536]).find(b"\xff") + p if b"\xff" in bytes(d[p : p + 65536]) else p + 65536
-                if p + 1 >= len(d):
+                p = d.find(b"\xff", p)
+                if p < 0 or p + 1 >= len(d):
                     return None
                 if d[p + 1] == 0xD9:
                     return p + 2 - at
@@ -66,7 +99,8 @@ def _jpeg(d: memoryview, at: int) -> int | None:
     return None
 
 
-def _gif(d: memoryview, at: int) -> int | None:
+def _gif(data: Data, at: int) -> int | None:
+    d = data.raw
     if at + 13 > len(d):
         return None
     width, height, flags = struct.unpack_from("<HHB", d, at + 6)
@@ -90,7 +124,8 @@ def _gif(d: memoryview, at: int) -> int | None:
     return None
 
 
-def _bmp(d: memoryview, at: int) -> int | None:
+def _bmp(data: Data, at: int) -> int | None:
+    d = data.raw
     if at + 30 > len(d):
         return None
     n, _, offset, header = struct.unpack_from("<IIII", d, at + 2)
@@ -100,8 +135,9 @@ def _bmp(d: memoryview, at: int) -> int | None:
 
 
 def _riff(kind: bytes, first: tuple[bytes, ...]) -> Validator:
-    def check(d: memoryview, at: int) -> int | None:
-        if at + 20 > len(d) or bytes(d[at + 8 : at + 12]) != kind or bytes(d[at + 12 : at + 16]) not in first:
+    def check(data: Data, at: int) -> int | None:
+        d = data.raw
+        if at + 20 > len(d) or d[at + 8 : at + 12] != kind or d[at + 12 : at + 16] not in first:
             return None
         end = at + 8 + struct.unpack_from("<I", d, at + 4)[0]
         p = at + 12
@@ -113,47 +149,47 @@ def _riff(kind: bytes, first: tuple[bytes, ...]) -> Validator:
     return check
 
 
-def _pdf(d: memoryview, at: int) -> int | None:
-    s = bytes(d[at:])
-    if len(s) < 9 or not s[5:6].isdigit() or s[6:7] != b"." or b"startxref" not in s:
+def _pdf(data: Data, at: int) -> int | None:
+    d = data.raw
+    if not d[at + 5 : at + 6].isdigit() or d[at + 6 : at + 7] != b".":
         return None
-    end = s.find(b"%%EOF")
-    while (more := s.find(b"%%EOF", end + 5)) > 0 and s.find(b"%PDF-", end, more) < 0:
-        end = more
-    return end + 5 if end > 0 and s.rfind(b"startxref", 0, end) > 0 else None
+    ends, heads, tables = data.where(b"%%EOF"), data.where(b"%PDF-"), data.where(b"startxref")
+    first = bisect_left(ends, at)
+    if first == len(ends):
+        return None
+    # up to the last end mark before the next document
+    after = bisect_left(heads, ends[first])
+    end = ends[bisect_left(ends, heads[after]) - 1] if after < len(heads) else ends[-1]
+    table = bisect_right(tables, at)
+    return end + 5 - at if table < len(tables) and tables[table] + 9 <= end else None
 
 
-def _gzip(d: memoryview, at: int) -> int | None:
+def _gzip(data: Data, at: int) -> int | None:
+    d = data.raw
     if at + 18 > len(d) or d[at + 3] & 0xE0:
         return None
     unpack, p = zlib.decompressobj(31), at
     try:
         while not unpack.eof and p < len(d):
-            data = d[p : p + 65536]
-            while len(data) and not unpack.eof:
-                unpack.decompress(data, 1 << 20)
-                data = unpack.unconsumed_tail
+            part = d[p : p + 65536]
+            while part and not unpack.eof:
+                unpack.decompress(part, 1 << 20)
+                part = unpack.unconsumed_tail
             p += 65536
     except zlib.error:
         return None
     return min(p, len(d)) - len(unpack.unused_data) - at if unpack.eof else None
 
 
-def _zip(d: memoryview, at: int) -> int | None:
-    s = bytes(d[at:])
-    end = s.find(b"PK\5\6")
-    while end >= 0:
-        if end + 22 <= len(s):
-            size, start, note = struct.unpack_from("<IIH", s, end + 12)
-            if start + size == end and (size == 0 or s[start : start + 4] == b"PK\1\2") and end + 22 + note <= len(s):
-                return end + 22 + note
-        end = s.find(b"PK\5\6", end + 4)
-    return None
+def _zip(data: Data, at: int) -> int | None:
+    end = data.archive_ends().get(at)
+    return None if end is None else end - at
 
 
-def _ogg(d: memoryview, at: int) -> int | None:
+def _ogg(data: Data, at: int) -> int | None:
+    d = data.raw
     p, last = at, False
-    while p + 27 <= len(d) and bytes(d[p : p + 5]) == b"OggS\0":
+    while p + 27 <= len(d) and d[p : p + 5] == b"OggS\0":
         table = d[p + 27 : p + 27 + d[p + 26]]
         q = p + 27 + d[p + 26] + sum(table)
         if len(table) < d[p + 26] or q > len(d):
@@ -163,7 +199,8 @@ def _ogg(d: memoryview, at: int) -> int | None:
     return p - at if p > at and last else None
 
 
-def _mp4(d: memoryview, at: int) -> int | None:
+def _mp4(data: Data, at: int) -> int | None:
+    d = data.raw
     p, kinds = at, []
     while p + 8 <= len(d):
         n, kind = struct.unpack_from(">I4s", d, p)
@@ -176,7 +213,8 @@ def _mp4(d: memoryview, at: int) -> int | None:
     return p - at if kinds[:1] == [b"ftyp"] and {b"moov", b"mdat", b"moof"} & set(kinds) else None
 
 
-def _flac(d: memoryview, at: int) -> int | None:
+def _flac(data: Data, at: int) -> int | None:
+    d = data.raw
     p, first = at + 4, True
     while p + 4 <= len(d):
         kind, n = d[p], int.from_bytes(d[p + 1 : p + 4], "big")
@@ -221,12 +259,12 @@ def _automaton() -> ahocorasick.Automaton:
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of every confirmed object, outermost only, in order."""
-    view, out, free = memoryview(data), [], 0
+    marked, out, free = Data(data), [], 0
     hits = []
     for end, (n, ks) in _automaton().iter(data.decode("latin-1")):
         hits += [(end - n + 1 - FORMATS[k][1], k) for k in ks]
     for at, k in sorted(hits):
-        if at >= free and at >= 0 and (length := FORMATS[k][3](view, at)):
+        if at >= free and at >= 0 and (length := FORMATS[k][3](marked, at)):
             out.append((at, length, FORMATS[k][2]))
             free = at + length
     return out

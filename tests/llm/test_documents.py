@@ -120,6 +120,18 @@ def test_each_format_is_confirmed_or_refused(kind):
         assert all(t != kind for _, _, t in media.sniff(data[:cut])) or kind == "video/mp4"
 
 
+def test_hostile_data_takes_linear_time():
+    import time
+
+    for part, size in ((b"%PDF-1.4 startxref ", 1 << 20), (b"PK\3\4 PK\5\6" + b"\0" * 9, 1 << 20), (b"%PDF-1.4 %%EOF ", 1 << 20), (b"BMRIFFOggSftyp", 1 << 20)):
+        began = time.process_time()
+        assert media.sniff(part * (size // len(part))) == []
+        assert time.process_time() - began < 5
+    two = PDF + b"\n" + PDF + b"\nstartxref\n1\n%%EOF"
+    assert [(a, n) for a, n, _ in media.sniff(two)] == [(0, len(PDF)), (len(PDF) + 1, len(two) - len(PDF) - 1)]
+    assert [t for *_, t in media.sniff(b"PK\5\6" + archive() + archive())] == ["application/zip"] * 2
+
+
 def test_sniff_media(spark):
     rows = [(1, png(), "image/jpeg"), (2, b"plain", "text/plain"), (3, None, None), (4, b"head" + GIF + PDF, "image/png"), (5, b"", "audio/wav")]
     got = {r["id"]: r for r in media.sniff_media(spark.createDataFrame(rows, "k long, d binary, t string"), "k", "d", "t").collect()}
