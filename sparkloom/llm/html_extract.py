@@ -14,7 +14,7 @@ import html
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -60,7 +60,7 @@ _KIND = {w: k for k, ws in enumerate(TOKENS.values()) for w in ws}
 _TAGS = ["#text", "p", "div", "section", "article", "main", "h1", "h2", "h3", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "tr", "blockquote", "pre", "figure", "figcaption", "button", "label", "body", "dl", "dialog"]
 _TAG = {t: k for k, t in enumerate(_TAGS)}
 #: Tags that matter wherever they stand above a node.
-_ABOVE = ["article", "main", "nav", "header", "footer", "aside", "form", "ul", "table", "figure", "dialog"]
+_ABOVE = ["article", "main", "nav", "header", "footer", "aside", "form", "ul", "table", "figure", "dialog", "button", "label"]
 
 
 @dataclass
@@ -174,8 +174,8 @@ def _kinds(attrs: str) -> np.ndarray:
     return np.minimum(out, 2)
 
 
-def node_features(page: Page) -> np.ndarray:
-    """A row for each node."""
+def feature_rows(page: Page) -> Callable[[int, int], np.ndarray]:
+    """The features of nodes ``a`` to ``b``, a row for each; a huge page never has all its rows at once."""
     n, k = len(page.tag), len(TOKENS)
     parent = np.array(page.parent)
     own = np.array([len(t) for t in page.text], float)
@@ -208,17 +208,25 @@ def node_features(page: Page) -> np.ndarray:
     seen: dict[int, int] = {}
     for i in range(n):
         order[i] = seen[parent[i]] = seen.get(int(parent[i]), -1) + 1
-    share = size / np.maximum(size[up], 1.0)
-    middle = (size[up] - size) / np.maximum(siblings - 1, 1)
     tag = np.array([_TAG.get(t, len(_TAGS)) for t in page.tag])
-    ups = tag[up]
-    columns = [
-        np.log1p(size), np.log1p(sums[1]), sums[2] / np.maximum(sums[1], 1), sums[3] / np.maximum(size, 1), np.log1p(sums[4]), size / sums[5], np.log1p(sums[5]), np.log1p(sums[6]),
-        np.log1p(sums[8]), size / np.maximum(sums[7], 1), size / total, before / total, 1 - (before + size) / total, depth, np.minimum(siblings, 50), order / np.maximum(siblings, 1), share, np.log1p(middle),
-        np.log1p(size[up]), sums[3][up] / np.maximum(size[up], 1), size[up] / np.maximum(sums[7][up], 1), (tag == 0).astype(float), np.full(n, np.log1p(total)),
-    ]
-    hot = [(tag == j).astype(float) for j in range(1, len(_TAGS))] + [(ups == _TAG[t]).astype(float) for t in ("p", "div", "li", "h1", "h2", "body", "section")]
-    return np.column_stack([*columns, *hot, kinds, kinds[up], over, above]).astype(np.float32)
+
+    def rows(a: int, b: int) -> np.ndarray:
+        at, u, t = slice(a, b), up[a:b], tag[a:b]
+        z, total_z = size[at], np.maximum(size[u], 1.0)
+        columns = [
+            np.log1p(z), np.log1p(sums[1, at]), sums[2, at] / np.maximum(sums[1, at], 1), sums[3, at] / np.maximum(z, 1), np.log1p(sums[4, at]), z / sums[5, at], np.log1p(sums[5, at]), np.log1p(sums[6, at]),
+            np.log1p(sums[8, at]), z / np.maximum(sums[7, at], 1), z / total, before[at] / total, 1 - (before[at] + z) / total, depth[at], np.minimum(siblings[at], 50), order[at] / np.maximum(siblings[at], 1), z / total_z,
+            np.log1p((size[u] - z) / np.maximum(siblings[at] - 1, 1)), np.log1p(size[u]), sums[3][u] / total_z, size[u] / np.maximum(sums[7][u], 1), (t == 0).astype(float), np.full(len(t), np.log1p(total)),
+        ]
+        hot = [(t == j).astype(np.float32) for j in range(1, len(_TAGS))] + [(tag[u] == _TAG[x]).astype(np.float32) for x in ("p", "div", "li", "h1", "h2", "body", "section")]
+        return np.column_stack([*columns, *hot, kinds[at], kinds[u], over[at], above[at]]).astype(np.float32)
+
+    return rows
+
+
+def node_features(page: Page) -> np.ndarray:
+    """A row for each node."""
+    return feature_rows(page)(0, len(page.tag))
 
 
 @dataclass
@@ -369,10 +377,28 @@ class _Maker:
                 out.append(f"<div>{m + self.words(10, 60)}</div>")
             else:
                 out.append(self.advert())
+            if r.random() < 0.06:
+                out.append(self.intruder())
+        if r.random() < 0.2:
+            out.append(self.intruder())
         if r.random() < 0.12:
             out.append(f"<div{self.attr('social')}><ul>{self.links(r.randint(2, 5))}</ul></div>")
         return "".join(out)
 
+    def intruder(self) -> str:
+        """What may stand inside an article, with or without a class, and is no part of it."""
+        r = self.r
+        text = r.choice(["<p>{}</p>", "{}", "<div>{}</div>"]).format(self.words(1, 40))
+        return r.choice([
+            lambda: f"<form{r.choice(['', self.attr('form')])}>{r.choice(['', text, f'<label>{self.words(1, 4)}</label>'])}<input type='text'>{r.choice(['', f'<p>{self.words(2, 20)}</p>'])}{r.choice(['', f'<button>{self.words(1, 2)}</button>'])}</form>",
+            lambda: f"<footer{r.choice(['', self.attr('foot')])}>{text}</footer>",
+            lambda: f"<aside{r.choice(['', self.attr('side')])}>{r.choice(['', f'<h3>{self.words(1, 4)}</h3>'])}{text}</aside>",
+            lambda: f"<{(t := r.choice(['button', 'label']))}>{self.words(1, 5)}</{t}>",
+            lambda: f"<{(t := r.choice(['button', 'label']))}>{self.words(1, 5)}</{t}>",
+            lambda: f"<p><{(t := r.choice(['button', 'label']))}>{self.words(1, 5)}</{t}></p>",
+            lambda: f"<nav><ul>{self.links(r.randint(2, 6))}</ul></nav>",
+        ])()
+
     def advert(self) -> str:
         return self.r.choice(['<div class="ad">{}</div>', f"<div{self.attr('advert')}>{{}}</div>", f"<div{self.attr('advert')}><p>{{}}</p></div>", f"<aside{self.attr('advert')}><a href='#'>{{}}</a></aside>"]).format(self.words(2, 30))
 
@@ -382,7 +408,7 @@ class _Maker:
         return f"<{(t := r.choice(['section', 'div', 'div']))} {r.choice(['id', 'class'])}=\"{self.name('comment')}\"><h3>{self.words(1, 3)}</h3>{r.choice(['{}', '<ul>{}</ul>', '<ol>{}</ol>']).format(''.join(one() for _ in range(r.randint(1, 8))))}</{t}>"
 
     def form(self) -> str:
-        return f"<form{self.attr('form')}><label>{self.words(1, 3)}</label><input type='text'>{self.r.choice(['', f'<p>{self.words(3, 20)}</p>'])}<button>{self.words(1, 2)}</button></form>"
+        return f"<form{self.r.choice(['', self.attr('form')])}><label>{self.words(1, 3)}</label><input type='text'>{self.r.choice(['', f'<p>{self.words(3, 20)}</p>'])}<button>{self.words(1, 2)}</button></form>"
 
     def notice(self) -> str:
         return f"<{(t := self.r.choice(['div', 'section', 'dialog', 'aside']))}{self.attr('notice')}>{self.r.choice(['<p>{}</p>', '{}']).format(self.words(4, 50))}<button>{self.words(1, 1)}</button></{t}>"
@@ -390,7 +416,7 @@ class _Maker:
     def side(self) -> str:
         r = self.r
         inner = "".join(r.choice([lambda: f"<h3>{self.words(1, 3)}</h3><ul>{self.links(r.randint(2, 8))}</ul>", lambda: f"<p>{self.words(5, 40)}</p>", self.form, self.advert])() for _ in range(r.randint(1, 4)))
-        return f"<aside{self.attr('side')}>{inner}</aside>" if r.random() < 0.5 else f"<div{self.attr('side')}>{inner}</div>"
+        return f"<aside{r.choice(['', self.attr('side')])}>{inner}</aside>" if r.random() < 0.5 else f"<div{self.attr('side')}>{inner}</div>"
 
     def top(self) -> str:
         r = self.r
@@ -399,6 +425,8 @@ class _Maker:
         x = r.random()
         if x < 0.4:
             return menu
+        if x < 0.5:
+            return f"<header>{r.choice(['', menu])}{r.choice(['<p>{}</p>', '{}', '<h1>{}</h1><p>{}</p>', '<div>{}</div>']).replace('{}', self.words(1, 14))}{r.choice(['', menu])}</header>"
         return f"<header{self.attr('head')}><div>{r.choice(['<h1>{}</h1>', '<a href=/>{}</a>', '<p>{}</p>']).format(self.words(1, 8))}</div>{menu}</header>" if x < 0.75 else f"<div{self.attr('head')}>{self.words(1, 10)}</div>{menu}"
 
     def foot(self) -> str:
@@ -439,22 +467,40 @@ def made_page(seed: int) -> tuple[str, Page, np.ndarray]:
 
 
 @lru_cache(1)
-def trained_model(pages: int = 500, seed: int = 11) -> BoostedTrees:
+def trained_model(pages: int = 800, seed: int = 11) -> BoostedTrees:
     """Trees fitted on made-up pages; the same for the same arguments."""
     made = [made_page(seed * 1_000_000 + k)[1:] for k in range(pages)]
     x, y = np.concatenate([node_features(p) for p, _ in made]), np.concatenate([label for _, label in made]).astype(float)
     return BoostedTrees().fit(x, y)
 
 
+#: Nodes that have feature rows at a time.
+_SLICE = 50_000
+
+
 def extract(sources: list[str], model: BoostedTrees) -> list[str]:
     """Main texts of some pages."""
-    trees = [parse(s) for s in sources]
-    if not trees:
-        return []
-    x = [node_features(t) for t in trees]
-    odds = model.log_odds(np.concatenate(x))
-    ends = np.cumsum([len(a) for a in x])
-    return [main_text(t, o) for t, o in zip(trees, np.split(odds, ends[:-1]))]
+    out: list[str] = []
+    waiting: list[Page] = []
+
+    def score() -> None:
+        if waiting:
+            odds = model.log_odds(np.concatenate([node_features(t) for t in waiting]))
+            ends = np.cumsum([len(t.tag) for t in waiting])
+            out.extend(main_text(t, o) for t, o in zip(waiting, np.split(odds, ends[:-1])))
+            waiting.clear()
+
+    for source in sources:
+        page = parse(source)
+        if len(page.tag) + sum(len(t.tag) for t in waiting) > _SLICE:
+            score()
+        if len(page.tag) > _SLICE:
+            rows = feature_rows(page)
+            out.append(main_text(page, np.concatenate([model.log_odds(rows(a, a + _SLICE)) for a in range(0, len(page.tag), _SLICE)])))
+        else:
+            waiting.append(page)
+    score()
+    return out
 
 
 def extract_main_text(df: DataFrame, id_col: str, html_col: str, keep: tuple[str, ...] = (), model: BoostedTrees | None = None) -> DataFrame:
@@ -462,10 +508,15 @@ def extract_main_text(df: DataFrame, id_col: str, html_col: str, keep: tuple[str
 
     Blocks in page order joined by one ``\\n``, white space inside a block as one
     space, character references decoded.  Null html counts as empty; repeated rows
-    give a result each; an empty table gives none.  The model (50 trees) is
-    broadcast; no shuffle.
+    give a result each; an empty table gives none.  Kept columns named as one of the
+    results get a ``_`` appended.  A page of 10 MB needs under 1 GB.  The model
+    (50 trees) is broadcast; no shuffle.
     """
-    names = ["page_id", *keep]
+    names = ["page_id"]
+    for name in keep:
+        while name.lower() in {"text", "n_chars", "_html", *(x.lower() for x in names)}:
+            name += "_"
+        names.append(name)
     plain = df.select(*[c.alias(n) for c, n in zip([df[f"`{id_col}`"], *[df[f"`{k}`"] for k in keep]], names)], df[f"`{html_col}`"].alias("_html"))
     sent = df.sparkSession.sparkContext.broadcast(model or trained_model())
 

@@ -73,6 +73,52 @@ def test_held_out_pages(model):
     assert exact >= 100 and wrong / total < 0.01
 
 
+INTRUDERS = {
+    "form": "<form>Send us your thoughts<input name=q></form>",
+    "form with a paragraph": "<form action=/send><p>Tell us what you think of this report</p><button>Send</button></form>",
+    "footer": "<footer><p>Filed under rivers and mills, printed with leave of the editor</p></footer>",
+    "aside": "<aside>Our shop sells maps of the whole valley, folded or rolled.</aside>",
+    "aside with a paragraph": "<aside><p>Our shop sells maps of the whole valley, folded or rolled.</p></aside>",
+    "button": "<button>Read it aloud</button>",
+    "label": "<label>Text size</label>",
+    "menu": "<nav><ul><li><a href=/a>Towns</a></li><li><a href=/b>Rivers</a></li><li><a href=/c>Hills</a></li></ul></nav>",
+    "script": "<script>document.write('<p>x</p>')</script><style>p { color: red }</style>",
+}
+PARTS = ["The old mill by the river", "The mill has stood by the river for three hundred years, and its wheel still turns in spring.", "Few of those who pass it know who built it, or why the road bends here.", "A clerk found the papers last autumn, in a chest under the stairs.", "They name a woman called Ada Thorn, who owned the land and paid the masons in flour."]
+
+
+def hand_written(intruder="", place=3, before="", after="", wrap="<article>{}</article>"):
+    body = [f"<h1>{PARTS[0]}</h1>", *[f"<p>{p}</p>" for p in PARTS[1:]]]
+    body.insert(place, intruder)
+    return f"<!DOCTYPE html><html><head><title>Mill</title></head><body>{before}{wrap.format(''.join(body))}{after}</body></html>"
+
+
+@pytest.mark.parametrize("kind", sorted(INTRUDERS))
+@pytest.mark.parametrize("place", [1, 3, 5])
+def test_no_part_of_the_article_without_a_class(model, kind, place):
+    assert H.extract([hand_written(INTRUDERS[kind], place)], model) == ["\n".join(PARTS)]
+
+
+@pytest.mark.parametrize("before", ["", "<header><p>News from the valley since 1901</p></header>", "<header><h1>Valley News</h1><nav><ul><li><a href=/>Home</a></li><li><a href=/x>Towns</a></li></ul></nav></header>", "<div class='cookie-notice'><p>We use cookies to count our visitors.</p><button>Fine</button></div>"])
+@pytest.mark.parametrize("after", ["", "<footer><p>Valley News, all rights reserved</p></footer>", "<section id=comments><h3>2 comments</h3><ul><li><b>Tom</b><p>I walked there once and saw no mill at all.</p></li><li><b>Eve</b><p>It is behind the trees.</p></li></ul></section>", "<aside><h3>Also read</h3><ul><li><a href=/1>Floods</a></li><li><a href=/2>Bridges</a></li></ul></aside>"])
+def test_hand_written_pages(model, before, after):
+    assert H.extract([hand_written(before=before, after=after)], model) == ["\n".join(PARTS)]
+
+
+def test_huge_pages_are_scored_in_slices(model, monkeypatch):
+    pages = [H.made_page(78_000_000 + k)[0] for k in range(20)]
+    whole = H.extract(pages, model)
+    monkeypatch.setattr(H, "_SLICE", 30)
+    assert H.extract(pages, model) == whole and any(len(H.parse(p).tag) > 30 for p in pages)
+
+
+def test_kept_columns_of_clashing_names(spark, model):
+    df = spark.createDataFrame([(1, "u", "<p>x", 5, "z")], "page_id long, text string, html string, n_chars int, Text_ string")
+    out = H.extract_main_text(df, "page_id", "html", ("text", "n_chars", "page_id", "Text_", "html"), model)
+    assert out.columns == ["page_id", "text_", "n_chars_", "page_id_", "Text__", "html", "text", "n_chars"]
+    assert out.first()["text_"] == "u"
+
+
 def test_rows_of_all_kinds(spark, model):
     article = "<html><body><nav><ul><li><a href=/>menu</a></ul></nav><article><h1>Title here</h1>" + "<p>Some words of text, and more of them.</p>" * 5 + "</article><footer>&copy; site</footer>"
     rows = [(1, "u", article, "x"), (2, "v", None, "x"), (3, None, "", "x"), (4, "w", "<nav><a href=/>menu</a></nav>", "x"), (1, "u", article, "x"), (5, "y", article.replace("<p>Some", "<p>Some" + " more" * 40000, 1), "x")]
