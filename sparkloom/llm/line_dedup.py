@@ -83,6 +83,11 @@ def _needed(words: Column, steps: tuple, min_texts: int) -> Column:
     return out
 
 
+def _growing(keys: DataFrame) -> DataFrame:
+    """Keys for a join: never broadcast, as they grow with the input; dealt anew, so that Spark can split what very many rows have."""
+    return keys.hint("rebalance").hint("merge")
+
+
 def _legs(lines: DataFrame, *columns: str) -> DataFrame:
     """A row for each of a line's leaves, with its first leaf beside it."""
     both = F.filter(F.array("a", "b"), lambda x: x.isNotNull())
@@ -121,7 +126,7 @@ def _templates(forms: DataFrame, min_texts: int) -> DataFrame:
     legs = _legs(forms.withColumn("n", F.size("tokens")), *_LINE, "texts", "n", "tokens")
     wide = legs.groupBy("leaf").agg(F.sum("texts").alias("all"), F.max("n").alias("n"), F.count(F.lit(1)).alias("lines"), _mixed().alias("mixed"))
     wide = wide.where((F.col("all") >= _needed(F.col("n"), LIKE, min_texts)) & (F.col("lines") > 1) & F.col("mixed")).select("leaf")
-    each = legs.join(wide, "leaf", "left_semi").select(*_LINE, "leaf", "n", "texts", F.posexplode("tokens").alias("i", "token"))
+    each = legs.join(_growing(wide), "leaf").select(*_LINE, "leaf", "n", "texts", F.posexplode("tokens").alias("i", "token"))
     common = each.groupBy("leaf", "i", "token").agg(F.sum("texts").alias("w")).where(F.col("w") >= least)
     held = each.select(*_LINE, "leaf", "n", "i", "token").join(common, ["leaf", "i", "token"])
     held = held.groupBy(*_LINE, "leaf", "n").agg(F.sort_array(F.collect_list(F.struct("w", "i", "token")), asc=False).alias("held"))
@@ -145,8 +150,7 @@ def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> Da
     busy = _legs(seen, "words").groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.max("words").alias("words"), _mixed().alias("mixed"))
     busy = busy.where((F.col("rows") >= _needed(F.col("words"), SAME, min_texts)) & F.col("mixed")).select("leaf")
     some = _perhaps(_legs(seen, *_LINE, *_TEXT, "at", "b", "words"), "leaf", busy)
-    # dealt anew, so that Spark can split the rows of a leaf that very many have
-    some = cut_lineage(some.join(busy.hint("rebalance"), "leaf").drop("leaf").distinct())
+    some = cut_lineage(some.join(_growing(busy), "leaf").drop("leaf").distinct())
 
     # a line's owner: the text of the lowest id that has it
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", *_TEXT)).alias("first")
@@ -160,10 +164,10 @@ def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> Da
     legs = _legs(lines, *_LINE, "texts", "words")
     wide = legs.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.max("words").alias("words"), F.count(F.lit(1)).alias("lines"), _mixed().alias("mixed"))
     wide = wide.where((F.col("texts") >= _needed(F.col("words"), LIKE, min_texts)) & (F.col("lines") > 1) & F.col("mixed")).select("leaf")
-    wanted = legs.join(wide, "leaf", "left_semi").select(*_LINE).distinct().join(lines.select(*_LINE, "a", "b", "texts", *owner), _LINE)
+    wanted = legs.join(_growing(wide), "leaf").select(*_LINE).distinct().join(lines.select(*_LINE, "a", "b", "texts", *owner), _LINE)
     wanted = cut_lineage(wanted)
     holders = wanted.select(F.col("o1").alias("t1"), F.col("o2").alias("t2")).distinct()
-    owners = _perhaps(plain.select("text", *_TEXT), "t1", holders).join(holders, _TEXT)
+    owners = _perhaps(plain.select("text", *_TEXT), "t1", holders).join(holders.hint("merge"), _TEXT)
     spelled = _lines(owners.select("text")).select(*_hashes(_LINE, F.col("masked")), "masked").join(wanted.select(*_LINE), _LINE, "left_semi").dropDuplicates(_LINE)
     forms = wanted.join(spelled, _LINE).select(*_LINE, "a", "b", "texts", F.split("masked", " ").alias("tokens"))
     grouped = cut_lineage(_templates(cut_lineage(forms), min_texts))
@@ -188,7 +192,7 @@ def _apply(df: DataFrame, text_col: str, gone: DataFrame) -> tuple[DataFrame, Co
     gone = cut_lineage(gone.toDF(*names))
     held, marked = _marked(keyed, names[0], gone.select(names[0]))
     out = [F.col(f"`{c}`") for c in df.columns]
-    cut = held.where(marked).select(*out, *names[:2]).join(gone, names[:2], "left").select(*out, drop)
+    cut = held.where(marked).select(*out, *names[:2]).join(gone.hint("merge"), names[:2], "left").select(*out, drop)
     joined = cut.unionByName(held.where(~marked).select(*out, F.lit(None).cast(gone.schema[names[2]].dataType).alias(names[2])))
     # the array around the lines makes them a variable, so the text is split once
     rest = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), drop)
