@@ -52,9 +52,15 @@ def fixed_number(c: Column, n: int) -> Column:
 
 
 def string_hash(c: Column) -> Column:
-    """The 32-bit polynomial hash (31) of text within the basic plane, signed."""
-    step = lambda h, x: F.pmod(h * 31 + F.ascii(x).cast("bigint"), F.lit(1 << 32))
-    h = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("bigint"), step)
+    """The 32-bit polynomial hash (31) over the UTF-16 units of a text, signed."""
+    step = lambda h, x: F.pmod(h * 31 + x, F.lit(1 << 32))
+
+    def add(h: Column, char: Column) -> Column:
+        point = F.ascii(char).cast("bigint")
+        beyond = point - 0x10000  # characters outside the basic plane are two units
+        return F.when(beyond < 0, step(h, point)).otherwise(step(step(h, F.shiftright(beyond, 10) + 0xD800), F.pmod(beyond, F.lit(0x400)) + 0xDC00))
+
+    h = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("bigint"), add)
     return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
 
 

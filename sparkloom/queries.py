@@ -119,17 +119,9 @@ def scan_by_parents(spark, sf_dir):
     return Scan(parent=("o_custkey", [7, 77, 777])).run(rows(spark, sf_dir, "orders"))
 
 
-@query("""SELECT o.o_orderkey, o.o_orderstatus, coalesce(string_agg(cast(l.l_partkey AS VARCHAR), ',' ORDER BY l.l_linenumber, l.l_partkey), '') AS parts
-FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey < 2000 GROUP BY ALL""")
-def scan_multi_family(spark, sf_dir):
-    request = cascade.Cascade("orders", Where(all_of=[Pred("o_orderkey", "<", 2000)]), ["o_orderstatus"], [cascade.Cascade("lineitem", columns=["l_partkey"])])
-    nested = cascade.read_nested(shop(spark, sf_dir), "shop", request)
-    return nested.select("o_orderkey", "o_orderstatus", F.concat_ws(",", F.transform("lineitem", lambda x: x["l_partkey"].cast("string"))).alias("parts"))
-
-
 @query("""SELECT o.o_orderkey, o.o_orderstatus, coalesce(string_agg(cast(l.l_partkey AS VARCHAR), ',' ORDER BY l.l_linenumber, l.l_partkey), '') AS parts
 FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY ALL""")
-def scan_multi_family_whole(spark, sf_dir):
+def scan_multi_family(spark, sf_dir):
     """All orders with their children, no condition on the key."""
     request = cascade.Cascade("orders", columns=["o_orderstatus"], children=[cascade.Cascade("lineitem", columns=["l_partkey"])])
     nested = cascade.read_nested(shop(spark, sf_dir), "shop", request)
@@ -206,7 +198,6 @@ def _filter(where: Where, source: str):
 _FILTERS: dict[str, tuple[Where, str, str]] = {
     "filter_conj": (Where(all_of=[Pred("l_quantity", ">=", 10.0), Pred("l_discount", "<", 0.05), Pred("l_returnflag", "!=", "N"), Pred("l_shipdate", "<=", DAY)]), "lineitem", "l_quantity >= 10 AND l_discount < 0.05::DOUBLE AND l_returnflag != 'N' AND l_shipdate <= TIMESTAMP '1998-09-02'"),
     "filter_text": (Where(all_of=[Pred("o_orderkey", ">", "9")], compare="text"), "orders", "cast(o_orderkey AS VARCHAR) > '9'"),
-    "filter_missing": (Where(all_of=[Pred("o_orderstatus", "!=", "F")]), "orders", "o_orderstatus != 'F'"),
     "filter_dnf": (Where(any_of=[{"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}, {"o_orderstatus": "O", "o_orderpriority": "5-LOW"}]), "orders", "(o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') OR (o_orderstatus = 'O' AND o_orderpriority = '5-LOW')"),
     "filter_dnf_single": (Where(any_of=[{"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}]), "orders", "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"),
     "filter_and_or": (Where(all_of=[Pred("o_totalprice", ">", 5000.0)], any_of=[{"o_orderstatus": "F"}, {"o_orderstatus": "O"}], contains={"o_orderpriority": "URG"}), "orders", "o_totalprice > 5000 AND o_orderstatus IN ('F', 'O') AND contains(o_orderpriority, 'URG')"),
@@ -252,9 +243,23 @@ def filter_while_match(spark, sf_dir):
     return nation.join(stop, (F.col("n_nationkey") < F.col("stop")) | F.col("stop").isNull()).select("n_nationkey", "n_name")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus = 'P'")
+_GAPS = "SELECT o_orderkey, nullif(o_orderpriority, '3-MEDIUM') AS o_orderpriority FROM orders"
+
+
+def _with_gaps(spark, sf_dir) -> DataFrame:
+    """Orders whose middle priority is missing."""
+    return rows(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("3-MEDIUM")).alias("o_orderpriority"))
+
+
+@query(f"SELECT * FROM ({_GAPS}) WHERE o_orderpriority != '1-URGENT'")
+def filter_missing(spark, sf_dir):
+    return Scan(Where(all_of=[Pred("o_orderpriority", "!=", "1-URGENT")])).run(_with_gaps(spark, sf_dir))
+
+
+@query(f"SELECT * FROM ({_GAPS}) WHERE o_orderpriority IS NULL OR o_orderpriority = '5-LOW'")
 def filter_null(spark, sf_dir):
-    return rows(spark, sf_dir, "orders").where(F.col("o_orderstatus").isNull() | (F.col("o_orderstatus") == "P")).select("o_orderkey", "o_orderstatus")
+    found = _with_gaps(spark, sf_dir)
+    return found.where(F.col("o_orderpriority").isNull() | (F.col("o_orderpriority") == "5-LOW"))
 
 
 @query("SELECT o_custkey, o_orderstatus FROM orders")
@@ -305,15 +310,9 @@ def join_nested(spark, sf_dir):
     return join.join_tree(join.JoinNode(rows(spark, sf_dir, "supplier"), "s", ["s_suppkey"]).join("s_nationkey", "n_nationkey", nation))
 
 
-@query("SELECT n_nationkey AS n_n_nationkey, s_nationkey AS s_s_nationkey, s_suppkey AS s_s_suppkey, c_nationkey AS c_c_nationkey, c_custkey AS c_c_custkey FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey < 200")
-def join_product(spark, sf_dir):
-    root = join.JoinNode(rows(spark, sf_dir, "nation"), "n").join("n_nationkey", "s_nationkey", join.JoinNode(rows(spark, sf_dir, "supplier"), "s", ["s_suppkey"]))
-    return join.join_tree(root.join("n_nationkey", "c_nationkey", join.JoinNode(rows(spark, sf_dir, "customer"), "c", ["c_custkey"], Where(all_of=[Pred("c_custkey", "<", 200)]))))
-
-
 @query("""SELECT n_nationkey AS n_n_nationkey, s_suppkey AS s_s_suppkey, count(*) AS n_pairs, sum(c_custkey)::BIGINT AS custkeys
 FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
-def join_product_whole(spark, sf_dir):
+def join_product(spark, sf_dir):
     """The product of all customers and suppliers of a nation, counted for each supplier."""
     root = join.JoinNode(rows(spark, sf_dir, "nation"), "n").join("n_nationkey", "s_nationkey", join.JoinNode(rows(spark, sf_dir, "supplier"), "s", ["s_suppkey"]))
     found = join.join_tree(root.join("n_nationkey", "c_nationkey", join.JoinNode(rows(spark, sf_dir, "customer"), "c", ["c_custkey"])))
@@ -416,7 +415,7 @@ def agg_ranges(spark, sf_dir):
 @query(f"SELECT kind, result FROM (SELECT 'sum' AS kind, {_sum_sql('o_totalprice')} AS result FROM orders UNION ALL SELECT 'avg', {_avg_sql('o_totalprice')} FROM orders UNION ALL SELECT 'min', min(o_totalprice) FROM orders UNION ALL SELECT 'max', max(o_totalprice) FROM orders)")
 def agg_dispatch(spark, sf_dir):
     orders = rows(spark, sf_dir, "orders")
-    one = orders.agg(*[agg.AGGREGATES[k](F.col("o_totalprice")).alias(k) for k in ("sum", "avg", "min", "max")])
+    one = orders.agg(*[agg.AGGREGATES[k](F.col("o_totalprice"), orders.schema["o_totalprice"].dataType).alias(k) for k in ("sum", "avg", "min", "max")])
     return one.unpivot([], ["sum", "avg", "min", "max"], "kind", "result")
 
 
@@ -567,9 +566,10 @@ def put_update(spark, sf_dir):
     return write.update(rows(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), _changes(spark, sf_dir), "c_custkey", ["ts", "event_id"])
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_brand, '_|::|\\||##') OR regexp_matches(p_type, '_|::|\\||##')")
+@query("SELECT p_partkey, p_code FROM (SELECT *, p_type || CASE p_size % 7 WHEN 0 THEN '_x' WHEN 1 THEN '::y' WHEN 2 THEN '#z' ELSE '' END AS p_code FROM part) WHERE regexp_matches(p_brand, '_|::|\\||##') OR regexp_matches(p_code, '_|::|\\||##')")
 def put_validate(spark, sf_dir):
-    return write.invalid_rows(rows(spark, sf_dir, "part"), ["p_brand", "p_type"]).select("p_partkey", "p_type")
+    ends = F.when(F.col("p_size") % 7 == 0, "_x").when(F.col("p_size") % 7 == 1, "::y").when(F.col("p_size") % 7 == 2, "#z").otherwise("")
+    return write.invalid_rows(rows(spark, sf_dir, "part").withColumn("p_code", F.concat("p_type", ends)), ["p_brand", "p_code"]).select("p_partkey", "p_code")
 
 
 @query(f"SELECT c_custkey, event_id FROM ({_CHANGES}) WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
@@ -578,9 +578,9 @@ def put_missing_row(spark, sf_dir):
     return write.unknown_keys(base, _changes(spark, sf_dir), "c_custkey").select("c_custkey", "event_id")
 
 
-@query("SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT * FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def delete_row(spark, sf_dir):
-    return write.delete(rows(spark, sf_dir, "customer"), rows(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return write.delete(rows(spark, sf_dir, "customer"), rows(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT o_orderdate, o_orderstatus, o_orderkey FROM orders")

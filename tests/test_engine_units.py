@@ -63,6 +63,21 @@ def test_average_rounds_half_up(spark):
         assert agg.aggregate(df, "avg", "v", name="r").first()["r"] == want
 
 
+def test_sums_and_averages_are_exact(spark):
+    from decimal import Decimal
+
+    one = lambda values, kind, agg_kind="sum", **more: agg.aggregate(spark.createDataFrame([(v,) for v in values], f"v {kind}"), agg_kind, "v", name="r", **more).first()["r"]
+    assert one([0.004] * 1000, "double") == 4.0
+    assert one([1e17, 0.25, -1e17], "double") == 0.25 and one([2e16] * 3, "double") == 6e16
+    assert one([0.1] * 10, "double") == 1.0 and one([0.004, 0.006], "double", "avg") == 0.01
+    big = Decimal("12345678901234567.0000000001")
+    assert one([big, big], "decimal(38,10)") == 2 * big and one([Decimal("0.005"), Decimal("0.005")], "decimal(38,10)", "avg") == Decimal("0.01")
+    assert one([2**62] * 4, "long") == 2**64 and one([1, 2], "int", "avg") == 1.5
+    assert one([1e-9] * 5, "double", scale=3) == 0.0 and one([], "double") is None
+    with pytest.raises(Exception, match="OUT_OF_RANGE"):
+        one([1e30], "double")
+
+
 def test_aggregate_errors(spark):
     df = spark.createDataFrame([("1", None), ("abc", "x")], "v string, w string")
     with pytest.raises(AggregateError):
@@ -89,23 +104,21 @@ def test_noon(spark):
     assert got == [dt.datetime(2017, 1, 1, 12, 30), dt.datetime(2017, 1, 1, 13)]
 
 
-def _demo(spark, more):
-    f = lambda data, names: spark.createDataFrame(data, ", ".join(f"{n} string" for n in names))
-    a, b = f([("a11", "a12"), ("a21", "a22")], ["a11", "a12"]), f([("b11", "b12"), ("b21", "b22"), ("b31", "b32")], ["b11", "b12"])
-    c = f([("c11", "cc", "cc3"), ("d21", "cc", "ccc5"), ("c31", "cc", "cc33")], ["c11", "c12", "c13"])
-    d = f([("d21", "d12", "d13"), ("d21", "d22", "d23"), ("d21", "d32", "d33")], ["d11", "d12", "d13"])
-    e = f([("e21", "d12", "e13")], ["e11", "e12", "e13"])
-    ff = f([("cc5", "f12", "f23"), *([("ccc5", "f22", "f33")] if more else [])], ["f11", "f12", "f13"])
-    dd = join.JoinNode(d, "d", ["d13"]).join("d12", "e12", join.JoinNode(e, "e", ["e13"]))
-    cc = join.JoinNode(c, "c", ["c12"]).join("c11", "d11", dd).join("c13", "f11", join.JoinNode(ff, "f", ["f12"]))
-    return join.join_tree(cc).crossJoin(a).crossJoin(b)  # tiny frames
+def _trips(spark, with_dock):
+    """Ferries that must have both a crew (which has a captain) and a dock, beside free lists of days and fares."""
+    f = lambda data, names: spark.createDataFrame(data, ", ".join(f"{n} string" for n in names.split()))
+    ferries = f([("alba", "north", "p1"), ("brio", "south", "p2"), ("brio", "south", "p3"), ("cora", "east", "p4")], "ferry route pier")
+    crews = f([("brio", "ines"), ("brio", "tove"), ("dora", "lars")], "ship person")
+    captains = f([("ines", "gold")], "name badge")
+    docks = f([("p1", "deep"), *([("p3", "wide")] if with_dock else [])], "place depth")
+    crew = join.JoinNode(crews, "crew", ["person"]).join("person", "name", join.JoinNode(captains, "cap", ["badge"]))
+    root = join.JoinNode(ferries, "f", ["route"]).join("ferry", "ship", crew).join("pier", "place", join.JoinNode(docks, "dock", ["depth"]))
+    return join.join_tree(root)
 
 
-def test_join_tree_demo(spark):
-    assert _demo(spark, False).count() == 0
-    out = _demo(spark, True)
-    assert out.count() == 6
-    assert {r["f_f12"] for r in out.collect()} == {"f22"}
+def test_join_tree_needs_every_branch(spark):
+    assert _trips(spark, False).count() == 0  # the one ferry with a captain has no dock, the one with a dock no crew
+    assert [(r["f_ferry"], r["crew_person"], r["cap_badge"], r["dock_depth"]) for r in _trips(spark, True).collect()] == [("brio", "ines", "gold", "wide")]
 
 
 def test_join_missing_key_and_aliases(spark):
@@ -125,7 +138,7 @@ def test_whole_product_of_branches(spark, tmp_path):
         spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     of = lambda n: [k for k in range(150, 450) if k % 4 == n]
     want = {(n, s, len(of(n)), sum(of(n))) for s, n in ((1, 1), (2, 1), (3, 2))}
-    assert {tuple(r) for r in queries()["join_product_whole"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in queries()["join_product"](spark, str(tmp_path)).collect()} == want
 
 
 @pytest.fixture(scope="module")
@@ -157,7 +170,7 @@ def test_whole_multi_family_read(spark, tmp_path):
     lines = [(k, n, 10 * n + k % 10) for k, _, _ in orders[:-1] for n in (2, 1)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r["o_orderkey"]: r["parts"] for r in queries()["scan_multi_family_whole"](spark, str(tmp_path)).collect()}
+    got = {r["o_orderkey"]: r["parts"] for r in queries()["scan_multi_family"](spark, str(tmp_path)).collect()}
     assert got == {k: "" if k == 70000 else f"{10 + k % 10},{20 + k % 10}" for k, _, _ in orders}
 
 
@@ -174,6 +187,7 @@ def test_text_functions(spark):
     assert [tuple(r) for r in df.select(keys.zero_pad(F.col("s"), 5), keys.fixed_number(F.col("s"), 5)).collect()] == [("00007", "00007"), ("123456", "23456"), ("000x1", "000x1")]
     h = spark.createDataFrame([("u1021224",)], "s string").select(keys.string_hash(F.col("s"))).first()[0]
     assert h == -289728895
+    assert [r[0] for r in spark.createDataFrame([("\U0001f600",), ("a\U0001f600é",), ("",)], "s string").select(keys.string_hash(F.col("s"))).collect()] == [1772899, ((97 * 31 + 0xD83D) * 31 + 0xDE00) * 31 + 0xE9, 0]
     m = spark.createDataFrame([("p_t_x##k::1_n::_zz",)], "s string").select(keys.key_map(F.col("s"))).first()[0]
     assert m == {"k": "1", "n": "NULL"}
 
@@ -196,6 +210,11 @@ def test_ranges(spark):
     df = spark.createDataFrame([("a", k) for k in (1, 2, 2, 50, 160, 300)], "g string, k int")
     got = sorted((r["lo"], r["hi"], r["n_keys"]) for r in ranges.coalesce_ranges(df, ["g"], "k", 100).collect())
     assert got == [(1, 50, 3), (160, 160, 1), (300, 300, 1)]
+    keys_ = [3, 9, 10, 11, 19, 20, 21, 45, 46, 59, 60, 61, 100, -5, -1, None]
+    df = spark.createDataFrame([(g, k) for g in ("a", None) for k in keys_[: 16 if g else 5]], "g string, k int")
+    for block in (1, 7, 10, 1000):  # runs over the edges of blocks, and over blocks without a start
+        got = sorted((r["g"] or "", r["lo"], r["hi"], r["n_keys"]) for r in ranges.coalesce_ranges(df.dropna(subset=["k"]), ["g"], "k", 15, block).collect())
+        assert got == [("", 3, 19, 5), ("a", -5, 21, 9), ("a", 45, 61, 5), ("a", 100, 100, 1)]
 
 
 def test_update_upsert_and_unknown(spark):
