@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import CatalogError
+from .errors import CatalogError, LockedError
 from .functions import keys
 from .operators import aggregate as agg
 from .operators import cascade, index, join, paging, ranges, write
@@ -16,6 +16,7 @@ from .plans.predicate import Pred, Where
 from .plans.scan import Scan, project
 from .sources.catalog import Catalog, FamilySpec, IndexDef, TableSpec, column_summary, parquet_reader
 from .sources.shared import scratch_folder
+from .sources.store import Store
 from .streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,10 +50,32 @@ def shop(spark: SparkSession, sf_dir: str) -> Catalog:
     }))
     catalog.create_table(TableSpec("log", "events", {"events": FamilySpec("events", "events", "event_id", ("event_id",), ("event_type", "user_id"))}))
     catalog.add_index("shop", "orders", IndexDef("by_status_date", ("o_orderstatus",), (("o_orderdate", "desc"),)))
-    catalog.add_index("shop", "orders", IndexDef("by_priority", ("o_orderpriority",)))
+    catalog.add_index("shop", "orders", IndexDef("by_priority", ("o_orderpriority", "o_totalprice")))
     return catalog
 
 
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def empty_store(spark: SparkSession, sf_dir: str) -> Store:
+    """The shop in a store of its own, its rows read where they are."""
+    store = Store(spark, scratch_folder(spark, "store"))
+    for spec in shop(spark, sf_dir).tables.values():
+        store.create_table(spec, {n: f"{sf_dir}/{f.source}.parquet" for n, f in spec.families.items()})
+    return store
+
+
+def indexed_store(spark: SparkSession, sf_dir: str) -> Store:
+    """The shop with its indexes built, once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        store = empty_store(spark, sf_dir)
+        for i in (IndexDef("by_priority", ("o_orderpriority",)), IndexDef("by_priority_price", ("o_orderpriority", "o_totalprice"))):
+            store.create_index("shop", "orders", i)
+        _STORES[key] = store
+    return _STORES[key]
+
+
 # ---- scans
 
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
@@ -79,15 +102,11 @@ def scan_pushdown(spark, sf_dir):
     return Scan(where, _ORDERS.split(", "), "o_orderkey", 500, 9000, limit=50).run(rows(spark, sf_dir, "orders"))
 
 
-def _index_hits(spark, sf_dir) -> DataFrame:
-    found = index.entries(rows(spark, sf_dir, "orders"), shop(spark, sf_dir).table("shop").family("orders"))
-    return found.where("column_name = 'o_orderpriority' AND idx_value = '1-URGENT'").select(F.col("row_id").cast("bigint").alias("o_orderkey"))
-
-
-@query("SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 2000")
+@query("SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 450000")
 def scan_index_multi(spark, sf_dir):
-    found = join.restrict_to(rows(spark, sf_dir, "orders"), _index_hits(spark, sf_dir), "o_orderkey")
-    return Scan(Where(all_of=[Pred("o_orderpriority", "=", "1-URGENT"), Pred("o_totalprice", ">", 2000.0)])).run(found)
+    """Conditions on two columns, pushed to the files of a stored index; its keys restrict the rows."""
+    where = Where(all_of=[Pred("o_orderpriority", "=", "1-URGENT"), Pred("o_totalprice", ">", 450000.0)])
+    return indexed_store(spark, sf_dir).scan("shop", "orders", Scan(where))
 
 
 @query("SELECT * FROM orders WHERE o_orderkey = 1234")
@@ -128,9 +147,11 @@ def scan_multi_family(spark, sf_dir):
     return nested.select("o_orderkey", "o_orderstatus", F.concat_ws(",", F.transform("lineitem", lambda x: x["l_partkey"].cast("string"))).alias("parts"))
 
 
-@query("SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'")
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT'")
 def scan_index_inregion(spark, sf_dir):
-    return join.restrict_to(rows(spark, sf_dir, "orders"), _index_hits(spark, sf_dir), "o_orderkey")
+    """The index has all that is asked for, so the rows aren't read."""
+    where = Where(all_of=[Pred("o_orderpriority", "=", "1-URGENT")])
+    return indexed_store(spark, sf_dir).scan("shop", "orders", Scan(where, ["o_orderkey", "o_orderpriority"]))
 
 
 @query("SELECT 'o_orderpriority' AS column_name, o_orderpriority AS idx_value, 'orders' AS family_name, cast(o_orderkey AS VARCHAR) AS row_id FROM orders WHERE o_orderpriority >= '1' AND o_orderpriority < '3'")
@@ -156,7 +177,7 @@ def meta_list(spark, sf_dir):
     return shop(spark, sf_dir).list_tables(spark)
 
 
-@query("SELECT * FROM (VALUES ('by_priority', 'o_orderpriority', ''), ('by_status_date', 'o_orderstatus', 'o_orderdate desc')) t(index_name, columns, order_by)")
+@query("SELECT * FROM (VALUES ('by_priority', 'o_orderpriority,o_totalprice', ''), ('by_status_date', 'o_orderstatus', 'o_orderdate desc')) t(index_name, columns, order_by)")
 def meta_get_idx(spark, sf_dir):
     return shop(spark, sf_dir).list_indexes(spark, "shop", "orders")
 
@@ -590,11 +611,15 @@ def index_build(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("SELECT count(*) AS rows_dropped FROM orders")
+@query("SELECT count(*) AS rows_dropped, true AS files_deleted FROM orders")
 def index_drop(spark, sf_dir):
-    catalog = shop(spark, sf_dir)
-    stored = index.index_rows(rows(spark, sf_dir, "orders"), catalog.indexes["shop", "orders"]["by_priority"], "o_orderkey")
-    return index.drop_index(catalog, "shop", "orders", "by_priority", stored)
+    """A stored index is dropped: its files go with the next change."""
+    store = empty_store(spark, sf_dir)
+    store.create_index("shop", "orders", IndexDef("by_priority", ("o_orderpriority",)))
+    path = store.paths["shop/orders/by_priority"]
+    n = store.drop_index("shop", "orders", "by_priority")
+    store.drop_table("log")
+    return spark.createDataFrame([(n, not store.files.exists(path))], "rows_dropped long, files_deleted boolean")
 
 
 _ENTRIES = "SELECT 'o_orderstatus' AS column_name, o_orderstatus AS idx_value, 'orders' AS family_name, cast(o_orderkey AS VARCHAR) AS row_id FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority, 'orders', cast(o_orderkey AS VARCHAR) FROM orders"
@@ -632,11 +657,19 @@ def index_select(spark, sf_dir):
     return spark.createDataFrame([(k, index.choose_layout(key, known, w, o)) for k, (w, o) in asked.items()], "request string, layout string")
 
 
-@query("SELECT * FROM (VALUES ('orders', true), ('customer', false)) t(family, locked)")
+@query("SELECT * FROM (VALUES ('orders', true), ('customer', false)) t(family, refused)")
 def index_lock(spark, sf_dir):
-    catalog = shop(spark, sf_dir)
-    catalog.lock("shop", "orders")
-    return spark.createDataFrame([(f, ("shop", f) in catalog.locked) for f in ("orders", "customer")], "family string, locked boolean")
+    """A write to a locked family is refused, also by another user of the store."""
+    store = empty_store(spark, sf_dir)
+    store.lock("shop", "orders")
+    other, found = Store(spark, store.folder), []
+    for family in ("orders", "customer"):
+        try:
+            other.delete("shop", family, other.rows("shop", family).limit(0))
+            found.append((family, False))
+        except LockedError:
+            found.append((family, True))
+    return spark.createDataFrame(found, "family string, refused boolean")
 
 
 _PARTS = {"op": "ADDTB", "spec": TableSpec("parts", "part", {"part": FamilySpec("part", "part", "p_partkey")})}
@@ -644,20 +677,28 @@ _PARTS = {"op": "ADDTB", "spec": TableSpec("parts", "part", {"part": FamilySpec(
 
 @query("SELECT * FROM (VALUES ('shop', 'customer', 3), ('log', 'events', 1), ('parts', 'part', 1)) t(table_name, main_family, families)")
 def ddl_create(spark, sf_dir):
-    """Creating a table twice changes nothing."""
-    return upsert.apply_metadata(shop(spark, sf_dir), [_PARTS, _PARTS]).list_tables(spark)
+    """Creating a table twice changes nothing; another user of the store sees it."""
+    store = empty_store(spark, sf_dir)
+    for _ in range(2):
+        store.create_table(_PARTS["spec"], {"part": f"{sf_dir}/part.parquet"})
+    return Store(spark, store.folder).catalog.list_tables(spark)
 
 
 @query("SELECT * FROM (VALUES ('log', 'events', 1)) t(table_name, main_family, families)")
 def ddl_drop(spark, sf_dir):
-    return upsert.apply_metadata(shop(spark, sf_dir), [{"op": "DROPTB", "table": "shop"}]).list_tables(spark)
+    store = empty_store(spark, sf_dir)
+    store.drop_table("shop")
+    return Store(spark, store.folder).catalog.list_tables(spark)
 
 
 @query("SELECT * FROM (VALUES ('part'), ('supplier')) t(family)")
 def ddl_alter_family(spark, sf_dir):
-    add = lambda name, pk: {"op": "ADDCF", "table": "parts", "spec": FamilySpec(name, name, pk)}
-    events = [_PARTS, add("supplier", "s_suppkey"), add("nation", "n_nationkey"), {"op": "DROPCF", "table": "parts", "family": "nation"}]
-    return upsert.apply_metadata(shop(spark, sf_dir), events).describe(spark, "parts").select("family")
+    store = empty_store(spark, sf_dir)
+    store.create_table(_PARTS["spec"], {"part": f"{sf_dir}/part.parquet"})
+    for name, pk in (("supplier", "s_suppkey"), ("nation", "n_nationkey")):
+        store.add_family("parts", FamilySpec(name, name, pk), f"{sf_dir}/{name}.parquet")
+    store.drop_family("parts", "nation")
+    return Store(spark, store.folder).catalog.describe(spark, "parts").select("family")
 
 
 @query("SELECT true AS refused, count(*) AS n FROM orders")

@@ -1,13 +1,16 @@
 """An index kept current from a stream of changes.
 
 State holds the last change of every document id, deletes included as tombstones,
-so late and repeated changes can't undo later ones.  Each micro-batch writes a new
-version; readers see the last complete one.  Running a batch again gives the same
-version, so a restart is harmless.
+so late and repeated changes can't undo later ones.  It is kept in buckets by the hash
+of the id; a micro-batch rewrites the buckets that it touches, and a small manifest then
+tells which version of each bucket counts.  Readers see the last complete version.
+Running a batch again gives the same version, so a restart is harmless.  Files that
+neither of the last two versions needs are deleted.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..errors import CatalogError
 from ..operators.write import latest
 from ..sources.catalog import Catalog, FamilySpec, TableSpec
+from ..sources.shared import Files
 
 DELETE = "Delete"
 
@@ -40,25 +44,50 @@ class VersionedIndex:
     folder: str
     pk: str
     order: Sequence[str]
+    buckets: int = 64
 
-    def _path(self, version: int) -> str:
-        return f"{self.folder}/v={version:012d}"
+    def __post_init__(self) -> None:
+        self.files = Files(self.spark)
+
+    def _data(self, version: int) -> str:
+        return f"{self.folder}/data/v={version:012d}"
+
+    def _told(self, version: int) -> str:
+        return f"{self.folder}/manifest/{version:012d}.json"
 
     def _done(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return [int(n[:12]) for n in self.files.names(f"{self.folder}/manifest") if n.endswith(".json")]
+
+    def manifest(self, version: int) -> dict[str, int]:
+        """Bucket -> the version that wrote it last."""
+        return json.loads(self.files.read(self._told(version)))
+
+    def _read(self, held: dict[str, int]) -> DataFrame | None:
+        parts = [f"{self._data(v)}/_bucket={b}" for b, v in held.items()]
+        return self.spark.read.parquet(*parts) if parts else None
 
     def state(self, before: int | None = None) -> DataFrame | None:
         done = [v for v in self._done() if before is None or v < before]
-        return self.spark.read.parquet(self._path(done[-1])) if done else None
+        return self._read(self.manifest(done[-1])) if done else None
 
     def write_batch(self, batch: DataFrame, version: int) -> None:
-        apply_changes(self.state(before=version), batch, self.pk, self.order).write.mode("overwrite").parquet(self._path(version))
+        """Fold a batch into the state; it is read twice, so it must be one that gives the same rows again."""
+        done = [v for v in self._done() if v < version]
+        held = self.manifest(done[-1]) if done else {}
+        keyed = batch.withColumn("_bucket", F.pmod(F.xxhash64(self.pk), F.lit(self.buckets)))
+        touched = [str(r[0]) for r in keyed.select("_bucket").distinct().collect()]  # at most ``buckets`` rows
+        old = self._read({b: held[b] for b in touched if b in held})
+        if touched:
+            new = apply_changes(old, batch, self.pk, self.order).withColumn("_bucket", F.pmod(F.xxhash64(self.pk), F.lit(self.buckets)))
+            new.write.mode("overwrite").partitionBy("_bucket").parquet(self._data(version))
+        now = held | {b: version for b in touched}
+        self.files.write(self._told(version), json.dumps(now))
+        needed = {*now.values(), *held.values()}
+        for name in self.files.names(f"{self.folder}/data"):
+            if int(name[2:]) not in needed and int(name[2:]) < version:
+                self.files.delete(f"{self.folder}/data/{name}")
+        for v in done[:-1]:
+            self.files.delete(self._told(v))
 
     def start(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
         """Process what is there and stop."""

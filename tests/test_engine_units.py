@@ -242,6 +242,28 @@ def test_change_stream_with_late_changes(spark, tmp_path):
     assert upsert.visible(target.state()).count() == 2
 
 
+def test_stream_state_rewrites_only_touched_buckets(spark, tmp_path):
+    target = upsert.VersionedIndex(spark, f"{tmp_path}/index", "id", ["ts"], buckets=8)
+    frame = lambda rows_: spark.createDataFrame(rows_, "id int, ts int, op string")
+    assert target.state() is None
+    target.write_batch(frame([(k, 1, "Update") for k in range(100)]), 0)
+    before = target.manifest(0)
+    assert len(before) == 8
+    target.write_batch(frame([(5, 2, "Delete")]), 1)
+    target.write_batch(frame([(5, 2, "Delete")]), 1)  # a batch that is run again
+    after = target.manifest(1)
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert {(r["id"], r["ts"]) for r in target.state().collect()} == {(k, 2 if k == 5 else 1) for k in range(100)}
+    assert target.state(before=1).where("id = 5").first()["ts"] == 1
+    target.write_batch(frame([(k, 3, "Update") for k in range(100, 200)]), 2)
+    target.write_batch(frame([]), 3)
+    assert target.state().count() == 200 and target.state().columns == ["id", "ts", "op"]
+    for k in range(4, 8):
+        target.write_batch(frame([(k, 9, "Update")]), k)
+    used = {v for m in (6, 7) for v in target.manifest(m).values()}
+    assert set(target.files.names(f"{tmp_path}/index/data")) == {f"v={v:012d}" for v in used}  # no more than the last two versions need
+
+
 def test_catalog_rules(spark, family):
     with pytest.raises(CatalogError):
         family.truncate_table("t")
@@ -265,6 +287,55 @@ def test_build_and_repair_index(spark, family, tmp_path):
     assert index.repair(full.where("idx_value = 'x'"), lines, spec, Where(all_of=[Pred("w", "=", "y")]), ["w"]).count() == 2
 
 
+def test_store(spark, tmp_path):
+    from sparkloom.sources.store import Store
+
+    orders = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, 7)], "id int, state string, price int")
+    lines = spark.createDataFrame([(10, 1, "x"), (11, 1, "y"), (12, 3, "z")], "line int, order_id int, item string")
+    spec = TableSpec("t", "order", {"order": FamilySpec("order", "", "id", ("id",)), "line": FamilySpec("line", "", "line", parent="order", parent_key="order_id")})
+    store = Store(spark, f"{tmp_path}/store")
+    store.create_table(spec, {"order": orders, "line": lines})
+    assert store.create_index("t", "order", IndexDef("by_state", ("state",))).first()[0] == 2
+    urgent = Scan(Where(all_of=[Pred("state", "=", "b"), Pred("id", "<", 50)]))
+    other = Store(spark, f"{tmp_path}/store")  # another user of the same folder
+    for s in (store, other):
+        assert s.layout("t", "order", urgent) == "by_state" and [tuple(r) for r in s.scan("t", "order", urgent).collect()] == [(2, "b", 6)]
+    p, used = plan(store.scan("t", "order", urgent)), lambda df: {part for f in df.inputFiles() for part in f.split("/")}
+    assert "by_state" in used(store.scan("t", "order", urgent)) and "EqualTo(state,b), LessThan(id,50)], ReadSchema: struct<state:string,id:int>" in p
+    assert "rows" not in used(store.scan("t", "order", Scan(Where(all_of=[Pred("state", "=", "b")]), ["id", "state"])))
+    assert store.layout("t", "order", Scan(Where(all_of=[Pred("price", "=", 5)]))) is None
+    # writes keep the index current, and a write based on an old description is refused
+    changes = spark.createDataFrame([(2, "c", 8, 1), (4, "b", 9, 1)], "id int, state string, price int, at int")
+    store.upsert("t", "order", changes, ["at"])
+    assert sorted(r["id"] for r in store.scan("t", "order", urgent).collect()) == [4]
+    with pytest.raises(CatalogError):
+        other.delete("t", "order", changes.select("id"))
+    other.refresh()
+    other.put_nested("t", spark.createDataFrame([(9, "b", 1, [(90, "n"), (91, "m")])], "id int, state string, price int, line array<struct<line:int,item:string>>"))
+    assert sorted(r["id"] for r in other.scan("t", "order", urgent).collect()) == [4, 9] and other.rows("t", "line").count() == 5
+    other.delete_cascade("t", spark.createDataFrame([(1,), (9,)], "id int"))
+    assert [r["line"] for r in other.rows("t", "line").collect()] == [12]
+    # a lock binds all users until it is taken off
+    other.lock("t", "order")
+    store.refresh()
+    for act in (lambda: store.insert("t", "order", orders), lambda: store.drop_index("t", "order", "by_state"), lambda: store.create_index("t", "order", IndexDef("z", ("price",))), lambda: store.drop_table("t"), lambda: store.delete_cascade("t", orders)):
+        with pytest.raises(LockedError):
+            act()
+    other.unlock("t", "order")
+    store.refresh()
+    path = store.paths["t/order/by_state"]
+    assert store.drop_index("t", "order", "by_state") == 2 and store.layout("t", "order", urgent) is None
+    store.drop_table("t")
+    assert not store.files.exists(path) and Store(spark, f"{tmp_path}/store").catalog.tables == {}
+
+
+def test_stored_index_in_plans(spark, sf_dir):
+    found = queries()["scan_index_multi"](spark, sf_dir)
+    p = plan(found).split("== Physical Plan ==")[1]
+    assert any("by_priority_price" in f for f in found.inputFiles()) and "EqualTo(o_orderpriority,1-URGENT)" in p and "Expand" not in p
+    assert not any("orders.parquet" in f for f in queries()["scan_index_inregion"](spark, sf_dir).inputFiles())
+
+
 def test_layout_choice():
     known = [IndexDef("b", ("x", "y")), IndexDef("a", ("x", "y")), IndexDef("o", ("x",), (("d", "desc"), ("e", "asc")))]
     choose = lambda where, order=(): index.choose_layout(["k"], known, where, order)
