@@ -243,20 +243,21 @@ clean AS (SELECT doc_id, text, pos, trim(regexp_replace(line, '[ \\t\\r]+', ' ',
 raw AS (SELECT doc_id, text, pos, string_split(p, ' ') AS plain, list_transform(string_split(p, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS hidden FROM clean),
 toks AS (SELECT doc_id, text, pos, len(plain) AS n, CASE WHEN len(list_filter(hidden, lambda t: t != '<*>')) > 0 THEN hidden ELSE plain END AS tokens FROM raw WHERE len(plain) >= {MIN_TOKENS}),
 seen AS (SELECT tokens, text, n, min(doc_id) AS doc FROM toks GROUP BY ALL),
-same AS (SELECT tokens, count(*) AS texts, {owner} AS owner, n, len(list_filter(tokens, lambda t: t != '<*>')) AS words,
+same AS (SELECT row_number() OVER () AS id, tokens, count(*) AS texts, {owner} AS owner, n, len(list_filter(tokens, lambda t: t != '<*>')) AS words,
                 CASE WHEN n <= {DEPTH} THEN tokens ELSE tokens[1:least({DEPTH}, n // 2)] END AS a, CASE WHEN n > {DEPTH} THEN tokens[least({DEPTH}, n // 2) + 1:least({DEPTH}, n // 2) + {DEPTH}] END AS b
          FROM seen GROUP BY tokens, n),
-legs AS (SELECT tokens, texts, n, a, 'a' AS kind, a AS leaf FROM same UNION ALL SELECT tokens, texts, n, a, 'b', b FROM same WHERE b IS NOT NULL),
+holds AS (SELECT id, text, doc FROM seen JOIN same USING (tokens)),
+legs AS (SELECT id, texts, n, a, 'a' AS kind, a AS leaf FROM same UNION ALL SELECT id, texts, n, a, 'b', b FROM same WHERE b IS NOT NULL),
 open_ AS (SELECT kind, n, leaf FROM legs GROUP BY kind, n, leaf HAVING kind = 'a' OR min(a) != max(a)),
-each_ AS (SELECT kind, n, leaf, texts, tokens, i, tokens[i] AS token FROM (SELECT legs.*, unnest(range(1, n + 1)) AS i FROM legs SEMI JOIN open_ USING (kind, n, leaf))),
+each_ AS (SELECT l.kind, l.n, l.leaf, l.texts, l.id, unnest(s.tokens) AS token, generate_subscripts(s.tokens, 1) AS i FROM (SELECT * FROM legs SEMI JOIN open_ USING (kind, n, leaf)) l JOIN same s USING (id)),
 weights AS (SELECT kind, n, leaf, i, token, sum(texts) AS w FROM each_ GROUP BY ALL),
-ranked AS (SELECT kind, n, leaf, tokens, i, token, w, row_number() OVER (PARTITION BY kind, n, leaf, tokens ORDER BY w DESC) AS place FROM each_ JOIN weights USING (kind, n, leaf, i, token)),
-least_ AS (SELECT kind, n, leaf, tokens, w AS least FROM ranked WHERE place = CAST(ceil({SIMILAR} * n) AS BIGINT)),
-held AS (SELECT kind, n, leaf, tokens, list((i, token) ORDER BY i) AS form, count(*) FILTER (token != '<*>') AS words FROM ranked JOIN least_ USING (kind, n, leaf, tokens) WHERE w >= least GROUP BY kind, n, leaf, tokens),
-members AS (SELECT h.kind, h.n, h.leaf, h.form, h.words, s.text, min(s.doc) AS doc FROM held h JOIN seen s USING (tokens) GROUP BY ALL),
+ranked AS (SELECT kind, n, leaf, id, i, token, w, row_number() OVER (PARTITION BY kind, id ORDER BY w DESC) AS place FROM each_ JOIN weights USING (kind, n, leaf, i, token)),
+least_ AS (SELECT kind, id, w AS least FROM ranked WHERE place = CAST(ceil({SIMILAR} * n) AS BIGINT)),
+held AS (SELECT kind, n, leaf, id, list((i, token) ORDER BY i) AS form, count(*) FILTER (token != '<*>') AS words FROM ranked JOIN least_ USING (kind, id) WHERE w >= least GROUP BY kind, n, leaf, id),
+members AS (SELECT h.kind, h.n, h.leaf, h.form, h.words, s.text, min(s.doc) AS doc FROM held h JOIN holds s USING (id) GROUP BY ALL),
 shared AS (SELECT kind, n, leaf, form, {owner} AS owner FROM members GROUP BY kind, n, leaf, form HAVING any_value(words) > 0 AND count(*) >= {_needed_sql('any_value(words)', LIKE, min_texts)}),
-dropped AS (SELECT tokens, owner FROM held JOIN shared USING (kind, n, leaf, form) UNION ALL SELECT tokens, owner FROM same WHERE texts >= {_needed_sql('words', SAME, min_texts)}),
-gone AS (SELECT DISTINCT t.text, t.pos FROM toks t JOIN dropped d USING (tokens) WHERE t.text != d.owner),
+dropped AS (SELECT id, owner FROM held JOIN shared USING (kind, n, leaf, form) UNION ALL SELECT id, owner FROM same WHERE texts >= {_needed_sql('words', SAME, min_texts)}),
+gone AS (SELECT DISTINCT t.text, t.pos FROM toks t JOIN same s USING (tokens) JOIN dropped d USING (id) WHERE t.text != d.owner),
 kept AS (SELECT l.text, count(g.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS kept_text
          FROM (SELECT DISTINCT text, pos, line FROM lines) l LEFT JOIN gone g ON l.text = g.text AND l.pos = g.pos GROUP BY l.text)
 SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,
