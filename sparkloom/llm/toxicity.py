@@ -4,9 +4,13 @@ Grades are 0 to ``GRADES`` - 1.  One weight vector is shared by all thresholds:
 ``P(grade > k) = sigmoid(w . x - t_k)`` with ``t_0 < t_1 < ...``, so the expected
 severity is the sum of these probabilities.
 
-The labels say toxic or not.  Grade 0 is "not toxic"; toxic rows are graded 1 to 3
-by thirds of their share of marker words, the words far more common in toxic
-rows than in others.
+The labels only say toxic or not, so no grade above 0 is a judgement of people.  Grade 0
+is "not toxic"; a toxic row is in grade 1, 2 or 3 as its share of marker words (those far
+more common in toxic rows than in others) is in the lowest, middle or highest third of
+the toxic rows of the sample.  Grades and expected severity thus tell how dense a text
+is with such words, relative to the labelled toxic rows, and nothing beyond that; the
+model sees the same words, so its fit to the grades proves little.  What can be judged
+against the labels is ``toxic`` alone, P(grade > 0).
 """
 
 from __future__ import annotations
@@ -118,7 +122,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
     """Fit on at most ``sample`` labelled documents of each class (lowest hashes of their ids).
 
     Rows without id, label or document are left out; several labels of one
-    document count as the highest.  Without both classes the model calls nothing
+    document count as the highest, of several texts of one id the one of least hash
+    counts, of equal texts the one of least id: the same rows give the same model.  Without both classes the model calls nothing
     toxic.  The driver gets at most ``2 * sample`` rows' counts of at most ``vocabulary`` words.
     """
     given = pick(labels, doc_id=label_id, toxic=label_col).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -130,7 +135,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id
     # at most 2 * sample short rows: small enough to send to every task
     rows = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id")
     # copies would make features of their own words
-    rows = rows.withColumn("key", F.md5("text")).dropDuplicates(["doc_id"]).dropDuplicates(["key", "toxic"]).drop("key")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("key"), "toxic", "text")).alias("r")).select("doc_id", "r.*")
+    rows = rows.groupBy("key", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("toxic", "r.*")
     counts = _word_counts(rows).persist()
     taken = {r["toxic"]: r["n"] for r in counts.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     if not (taken.get(0) and taken.get(1)):
