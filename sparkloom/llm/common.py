@@ -32,26 +32,42 @@ def fresh(df: DataFrame, name: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a folder of our own is made.
+    Only where that is unset on one machine (tests) a folder of our own is made.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="sparkloom-shared-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def cut_lineage(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+def _store(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    store, p = _store(spark, path)
+    store.delete(p, True)
+
+
+def cut_lineage(df: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
     """Materialise ``df`` in the shared folder, so lost executors cost no recomputation.
 
-    It is read back by as many tasks as its rows ask for, so a small frame doesn't
-    make a shuffle file in each of many tasks.
+    It is read back by as many tasks as its bytes ask for, so a small frame doesn't
+    make a shuffle file in each of many tasks, and long rows don't meet in one.
+    Spark deletes the files when nothing refers to them, if the cluster sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
-    shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    shared_folder(spark)
     out = df.checkpoint(eager=True)
-    return out.coalesce(max(1, -(-out.count() // rows_per_task)))
+    store, p = _store(spark, out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return out.coalesce(max(1, -(-store.getContentSummary(p).getLength() // bytes_per_task)))
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -58,6 +58,42 @@ def test_rolling_hash_and_blocks(monkeypatch):
     assert fp.fingerprint(prose(3, 300)) == one
 
 
+def plain_fingerprint(text):
+    """By the definition, byte by byte."""
+    raw = text.encode()
+    if not raw:
+        return "3::"
+
+    def roll(i):
+        total, mixed = 1, 0
+        for j in range(7):
+            if i - j >= 0:
+                total += raw[i - j] * (8 - j)
+                mixed ^= (raw[i - j] << 5 * j) & 0xFFFFFFFF
+        return (total + mixed) & 0xFFFFFFFF
+
+    hashes, size = [roll(i) for i in range(len(raw))], 3
+    while size * 64 < len(raw):
+        size *= 2
+    while size > 3 and sum(h % size == 0 for h in hashes) < 32:
+        size //= 2
+
+    def letters(size):
+        out, chunk = "", b""
+        for i, h in enumerate(hashes):
+            chunk += raw[i : i + 1]
+            if h % size == 0 and len(out) < 63:
+                out, chunk = out + fp.ALPHABET[zlib.crc32(chunk) % 64], b""
+        return out + (fp.ALPHABET[zlib.crc32(chunk) % 64] if chunk else "")
+
+    return f"{size}:{letters(size)}:{letters(2 * size)}"
+
+
+@pytest.mark.parametrize("text", ["", "a", "é😀", "x" * 5000, "ab" * 3000, prose(1, 40), prose(2, 700), "\n".join(prose(k, 30) for k in range(40)), "q" * 900 + prose(3, 60)])
+def test_fingerprint_equals_plain_version(text):
+    assert fp.fingerprint(text) == plain_fingerprint(text)
+
+
 def test_common_subsequence_is_an_edit_distance():
     r = random.Random(5)
     for _ in range(60):
@@ -171,6 +207,36 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs_frame(spark, texts).limit(0), "id", "body", t).count() == 0
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_edited_licenses_equal_brute_force_alignment(seed):
+    """Words changed, left out or put in: matched words are those of the whole alignment table, and the span is the edited text."""
+    r = random.Random(seed)
+    name = r.choice([n for n, t in license_texts.TEMPLATES.items() if len(t.split()) > 60])
+    want = licenses._WORD.findall(license_texts.TEMPLATES[name].lower())
+    edited = []
+    for k, w in enumerate(want):
+        x = r.random() if 3 < k < len(want) - 4 else 1
+        edited += [] if x < 0.02 else [words(f"{seed} {k}", 1)] if x < 0.05 else [w, words(f"{seed} {k} more", 1)] if x < 0.06 else [w]
+    text = f"{words(seed, 40)} {' '.join(edited)} {words(-seed - 1, 40)}"
+    found = licenses.LicenseIndex(license_texts.TEMPLATES).scan(text)
+    matched = longest_common(want, text.split())
+    assert matched >= licenses.COVERAGE * len(want)
+    # of versions that share most of their words the one with most matched words is told
+    every = {n: longest_common(ws, text.split()) for n, t in license_texts.TEMPLATES.items() if (ws := licenses._WORD.findall(t.lower()))}
+    assert [(m.matched, every[m.name]) for m in found] == [(max(every.values()),) * 2]
+    if found[0].name == name:
+        assert text[found[0].start : found[0].end] == " ".join(edited)
+
+
 def test_every_template_finds_itself():
     scan = licenses.LicenseIndex(license_texts.TEMPLATES).scan
     for name, text in license_texts.TEMPLATES.items():
@@ -427,6 +493,8 @@ def test_toxicity_edges(spark, toxic):
         assert none.above("grubbish vilest")[0] < toxicity.TOXIC
     again = toxicity.fit(docs.repartition(7), "doc_id", "text", labels, "doc_id", "toxic")
     assert again == model
+    twice = docs.union(docs.where("doc_id < 300").selectExpr("doc_id", "concat(text, ' grubbish')", "toxic"))  # other texts of known ids
+    assert toxicity.fit(twice, "doc_id", "text", labels, "doc_id", "toxic") == toxicity.fit(twice.orderBy("text").repartition(5), "doc_id", "text", labels, "doc_id", "toxic")
 
 
 # ---- queries and pipeline
@@ -467,3 +535,24 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
         encode = fast_encoder(f.read(), queries.PATTERN).encode_ordinary
     check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), {k: [*encode(t), 1] for k, t in want.items()})
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "packing"]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "sequence_id"} <= set(out.columns)
+    (folder,) = {f.rsplit("/", 2)[0] for f in out.inputFiles()} or {None}
+    assert folder is None or len(list(__import__("pathlib").Path(folder.removeprefix("file:").replace("//", "/")).iterdir())) == 1
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sparkloom.llm.common import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]")
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
