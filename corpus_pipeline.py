@@ -1,7 +1,13 @@
 """A corpus pipeline of four stages: toxicity, line dedup, near-dedup, packing.
 
 ``run`` applies the stages to ``documents``; each result is written as Parquet to
-the shared folder and reread, so a lost executor costs no earlier stage.
+the shared folder and reread, so a lost executor costs no earlier stage.  The folder
+of a stage is deleted once the next one is written.
+
+Null and empty texts pass toxicity, line dedup and near-dedup and are packed as the
+single end id; repeated rows lose to one of them in near-dedup, unless they have no
+words; an empty table gives no rows.  All columns but the text (and ``n_chars``, which
+follows it) stay as they were up to packing.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import line_dedup, neardup, packing, toxicity
-from sparkloom.llm.common import shared_folder, table
+from sparkloom.llm.common import delete_folder, shared_folder, table
 from sparkloom.llm.queries import ADDED, PATTERN, RANKS
 
 
@@ -44,7 +50,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if before:
+            delete_folder(spark, before)
+        before = f"{folder}/{k}-{name}"
     return docs
