@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
-import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,17 +69,20 @@ def cut_lineage(df: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
     return out.coalesce(max(1, -(-store.getContentSummary(p).getLength() // bytes_per_task)))
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the files of shuffles that nothing refers to any more.
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within this block Spark deletes the shuffle files of each finished query.
 
-    Spark does so when the driver collects garbage, which may be long after a large
-    shuffle has served its purpose.  Python's own references go first; the listeners
-    let go of the last query a little later, hence the rounds.
+    For steps that are materialised by ``cut_lineage``: nothing reads their shuffles
+    again.  Should something do so all the same, Spark runs the stage once more.
     """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def groups(column, chars: int = 4_000_000) -> Iterator[list[str]]:

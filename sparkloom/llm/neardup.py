@@ -14,12 +14,20 @@ fewer), as 64-bit hashes.  Documents with equal sets form one node.
 * A bucket first compares its least node with the others, and confirmed links are
   merged to components.  A bucket whose members then are all in one component is
   done.  Of the others, those of up to ``SMALL`` members pair what is still in
-  different components; larger ones are joined to clusters, cut into blocks of
-  about ``BLOCK`` nodes, and pairs of blocks are compared as matrices inside a
-  task that emits no more than a spanning set of links.
-* Pairs of the first two kinds whose sketches agree in under ``AGREE`` coordinates
-  (five standard deviations under 0.75) are not looked at again.  All others, and
-  all pairs of blocks, are confirmed on full sets.
+  different components.
+* Nodes of larger ones meet again in an inverted index of rare shingles.  Shingles
+  are ordered by a table of counts of fixed size; a linked pair shares one that is
+  among the rarest quarter (and one more) of the larger set and the rarest seventh
+  (and one more) of the smaller.  A shingle that no set has in its rarest seventh,
+  such as those of a common template, makes no pairs.  The others are treated
+  like buckets, where only pairs with a set of the second kind count.
+* Where over ``SMALL`` sets of that kind share a shingle and are still in different
+  components, the groups are joined to clusters, cut into blocks of about ``BLOCK``
+  nodes, and pairs of blocks are compared as matrices inside a task that emits no
+  more than a spanning set of links.
+* Pairs of buckets and of the index whose sketches agree in under ``agree``
+  coordinates (``AGREE`` is five standard deviations under 0.75) are not looked at
+  again.  All others, and all pairs of blocks, are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -33,13 +41,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh, groups, pick, release_shuffles
+from .common import cut_lineage, fresh, groups, pick, tidy_shuffles
 
 SHINGLE = 5
 BINS, BANDS, ROWS = 128, 32, 4
 AGREE = 70
-#: Most members of a bucket that emits pairs, and nodes of a block of a cluster.
+#: Most members that are paired with all of a bucket, and nodes of a block of a cluster.
 SMALL, BLOCK = 24, 256
+#: Slots of the table that counts shingles; it only decides their order, so collisions lose nothing.
+SLOTS = 1 << 18
 
 _U = np.uint64
 _M, _BLOCK = 0x9E3779B97F4A7C15 | 1, 1 << 20
@@ -187,20 +197,17 @@ def _sets(plain: DataFrame) -> DataFrame:
     return plain.select("text").mapInArrow(run, "node binary, shingles binary")
 
 
-def _pairs_udf(test, *columns: str):
-    """A filter over pairs of binary columns, batch by batch."""
+def _agree_udf(least: int):
+    """A filter over pairs of sketches, a batch as one matrix."""
 
     @F.pandas_udf("boolean")
     def passes(a, b):  # noqa: ANN001
         import pandas as pd
 
-        return pd.Series([test(x, y) for x, y in zip(a, b)], dtype=bool)
+        x, y = (np.frombuffer(b"".join(c), "<u2").reshape(-1, BINS) for c in (a, b))
+        return pd.Series(np.count_nonzero(x == y, axis=1) >= least, dtype=bool)
 
-    return passes(*columns)
-
-
-def _agree(x: bytes, y: bytes) -> bool:
-    return int(np.count_nonzero(np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2"))) >= AGREE
+    return passes("sa", "sb")
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -214,8 +221,62 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= 75 * (a + b - common)
 
 
-def _confirm(x: bytes, y: bytes) -> bool:
-    return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+def _confirm_udf():
+    """A filter over pairs of full sets."""
+
+    @F.pandas_udf("boolean")
+    def passes(a, b):  # noqa: ANN001
+        import pandas as pd
+
+        return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype=bool)
+
+    return passes("sa", "sb")
+
+
+def _slots(x: np.ndarray) -> np.ndarray:
+    return (_mix(x * _FACTORS[0]) >> _U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """In how many sets the shingles of each slot occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("shingles"):
+                np.add.at(total, _slots(np.frombuffer(x.as_py(), np.uint64)), 1)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full], pa.int64())], names=["slot", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.uint32)
+    out[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
+    return out
+
+
+def rare_shingles(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles by which a set meets those of its size or less, the first so many of them those of its size or more.
+
+    Of two sets of similarity 0.75 or more the larger shares three quarters of its own
+    shingles and the smaller six sevenths.  The first shared shingle in the order has
+    all other shared ones behind it, so it is among these in either set.
+    """
+    n = len(x)
+    order = np.lexsort((x, counts[_slots(x)]))
+    return x[order[: n - -(-3 * n // 4) + 1]], n - -(-6 * n // 7) + 1
+
+
+def _rare(sets: DataFrame) -> DataFrame:
+    """(key, node, low): a row for each shingle by which a node may meet others; ``low`` for sets of its size or more."""
+    counts = _counts(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, x in zip(batch.column("node"), batch.column("shingles")):
+                rare, low = rare_shingles(np.frombuffer(x.as_py(), np.uint64), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(rare.view(np.int64)), pa.array([node.as_py()] * len(rare), pa.binary()), pa.array(np.arange(len(rare)) < low)], names=["key", "node", "low"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "key long, node binary, low boolean")
 
 
 def _block_links(block: pa.Table) -> pa.Table:
@@ -255,7 +316,7 @@ def _block_links(block: pa.Table) -> pa.Table:
 
 
 def _cluster_links(many: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links across components among the nodes of large buckets, found in blocks of the clusters that the buckets form."""
+    """Links across components among the nodes of large groups, found in blocks of the clusters that the groups form."""
     cluster = components(many.select(F.col("leader").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
     inside = many.select("node", "root").distinct().join(cluster, "node", "left").select("node", "root", F.coalesce("cluster", "node").alias("cluster"))
     size = inside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -289,7 +350,7 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, agree: int = AGREE) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of 0.75 or more on word shingles.
 
     One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (the least id
@@ -297,66 +358,76 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts without words have the empty set and are linked with nothing.  Rows of
     equal text are in one component, also if they repeat an id; a component
     without any id has a null ``component_id``.  An empty table gives no rows.
+    ``agree=0`` confirms every pair that shares a band.
     """
-    spark, plain = df.sparkSession, pick(df, doc_id=id_col, text=text_col)
+    with tidy_shuffles(df.sparkSession):
+        base, nodes, roots = _grouped(pick(df, doc_id=id_col, text=text_col), agree)
+    filled = base.where("n_shingles > 0")
+    labelled = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = labelled.join(smallest, "root").select("node", "component_id")
+    out = filled.select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(plain: DataFrame, agree: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node), (node, least) and (node, root) of rows (doc_id, text)."""
     kind = plain.schema["doc_id"].dataType.simpleString()
     base = cut_lineage(_base(plain, kind))
     filled = base.where("n_shingles > 0")
     # copies are merged before anything else; equal sets have equal sketches and keys
     nodes = cut_lineage(filled.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch")))
-    release_shuffles(spark)
-    spread = nodes.select("node", F.explode("keys").alias("key"))
-    # xxhash-like keys: a bucket of one node is of no interest
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = cut_lineage(spread.join(shared, "key").select("key", "node", "leader"))
-    release_shuffles(spark)
     sketch = nodes.select("node", "sketch")
 
+    def met(spread: DataFrame) -> DataFrame:
+        """(key, node, low, leader) of rows (key, node, low) whose key has a low node and another."""
+        shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("low"), F.col("node"))).alias("leader")).where("n > 1 and leader is not null")
+        return cut_lineage(spread.join(shared, "key").select("key", "node", "low", "leader"))
+
     def sets_of(needed: DataFrame) -> DataFrame:
         """(node, shingles) of these nodes, from their texts."""
         ids = nodes.join(needed, "node", "left_semi").select(F.col("least").alias("want")).distinct()
         rows = plain.join(ids, plain["doc_id"].eqNullSafe(ids["want"]), "left_semi")
         return cut_lineage(_sets(rows).join(needed, "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles")))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) that are links."""
+    def confirmed(pairs: DataFrame, sets: DataFrame | None) -> DataFrame:
+        """Those of the distinct pairs (a, b) that are links; the sets are made from the texts if not given."""
         left, right = (sketch.select(F.col("node").alias(x), F.col("sketch").alias("s" + x)) for x in "ab")
-        likely = cut_lineage(pairs.join(left, "a").join(right, "b").where(_pairs_udf(_agree, "sa", "sb")).select("a", "b"))
-        sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+        likely = cut_lineage(pairs.join(left, "a").join(right, "b").where(_agree_udf(agree)).select("a", "b"))
+        if sets is None:
+            sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
         left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias("s" + x)) for x in "ab")
-        return cut_lineage(likely.join(left, "a").join(right, "b").where(_pairs_udf(_confirm, "sa", "sb")).select("a", "b"))
-
-    star = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    roots = components(confirmed(star))
-    release_shuffles(spark)
-
-    def mixed(of: DataFrame) -> DataFrame:
-        """(key, node, leader, n, root) of those buckets among ``of`` whose ``n`` members aren't all in one component."""
-        labelled = of.join(roots, "node", "left").select("key", "node", "leader", F.coalesce("root", "node").alias("root"))
-        found = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "n")
-        return labelled.join(found, "key")
-
-    def merged(links: DataFrame) -> DataFrame:
-        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-
-    rest = cut_lineage(mixed(members))
-    few = rest.where((F.col("n") <= SMALL) & (F.col("node") != F.col("leader"))).select("key", "node", "root")
-    other = few.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    pairs = few.join(other, "key").where("node < other and root != other_root").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    roots = merged(confirmed(pairs))
-    release_shuffles(spark)
-
-    many = cut_lineage(mixed(rest.where(F.col("n") > SMALL).select("key", "node", "leader")))
+        return cut_lineage(likely.join(left, "a").join(right, "b").where(_confirm_udf()).select("a", "b"))
+
+    def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+        return components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    def mixed(of: DataFrame, roots: DataFrame) -> DataFrame:
+        """(key, node, low, leader, lows, root) of those keys among ``of`` whose members, ``lows`` of them low, aren't all in one component."""
+        labelled = of.join(roots, "node", "left").select("key", "node", "low", "leader", F.coalesce("root", "node").alias("root"))
+        found = labelled.groupBy("key").agg(F.count_if("low").alias("lows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "lows")
+        return cut_lineage(labelled.join(found, "key"))
+
+    def paired(members: DataFrame, roots: DataFrame | None, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Components after the comparisons of these keys, and what is left of keys with many low members."""
+        star = members.where("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        roots = merged(roots, confirmed(star, sets))
+        rest = mixed(members, roots)
+        few = rest.where((F.col("lows") <= SMALL) & (F.col("node") != F.col("leader"))).select("key", "node", "low", "root")
+        other = few.where("low").select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+        pairs = few.join(other, "key").where("root != other_root").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        roots = merged(roots, confirmed(pairs, sets))
+        return roots, mixed(rest.where(F.col("lows") > SMALL).select("key", "node", "low", "leader"), roots)
+
+    # keys are hashes of the band: a bucket of one node is of no interest
+    roots, many = paired(met(nodes.select("node", F.explode("keys").alias("key"), F.lit(True).alias("low"))), None, None)
     if not many.isEmpty():
-        roots = merged(_cluster_links(many, sets_of(many.select("node").distinct())))
-        release_shuffles(spark)
-
-    labelled = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(smallest, "root").select("node", "component_id")
-    out = filled.select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        sets = sets_of(many.select("node").distinct())
+        roots, many = paired(mixed(met(_rare(sets)), roots).drop("lows", "root"), roots, sets)
+        if not many.isEmpty():
+            roots = merged(roots, _cluster_links(many, sets))
+    return base.select("doc_id", "n_shingles", "node"), nodes.select("node", "least"), roots
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

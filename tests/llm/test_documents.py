@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import fingerprint as fp
 from sparkloom.llm import license_texts, licenses, line_dedup, media, neardup, queries, toxicity
@@ -429,6 +430,54 @@ def test_word_blocks(monkeypatch):
     assert all((a == b).all() for a, b in zip(one, neardup.shingle_sets([text, "", "a b"])))
 
 
+def test_rare_shingles_of_linked_sets_meet():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 4, neardup.SLOTS).astype(np.uint32)
+    tried = 0
+    while tried < 300:
+        n = int(rng.integers(1, 60))
+        x = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate((x[rng.random(len(x)) < 0.9], rng.integers(1, 2**63, int(rng.integers(0, 6))).astype(np.uint64))))
+        if len(y) and neardup.similar(x, y):
+            tried += 1
+            small, large = sorted((x, y), key=len)
+            short, low = neardup.rare_shingles(small, counts)
+            assert set(short[:low].tolist()) & set(neardup.rare_shingles(large, counts)[0].tolist())
+
+
+def test_near_duplicates_by_every_path(spark, monkeypatch):
+    """With few members to a small bucket the index and the blocks decide as well."""
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    blocks, plain = [], neardup._cluster_links
+    monkeypatch.setattr(neardup, "_cluster_links", lambda many, sets: blocks.append(1) or plain(many, sets))
+    texts = near_fixture()
+    for agree in (neardup.AGREE, 0):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs_frame(spark, texts), "id", "body", agree).collect()}
+        assert got == near_groups(texts)
+    assert blocks
+
+
+def test_near_duplicates_of_a_template_grow_linearly(spark, monkeypatch):
+    """Texts that share two thirds: their buckets chain to one cluster, in which nothing is linked and no pair is looked at."""
+    r = random.Random(8)
+    common = " ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(120))
+    texts = [(k, common + " " + " ".join(f"{r.choice(WORDS)}{r.randint(0, 10**9)}" for _ in range(32))) for k in range(1500)]
+    large, rows, plain = [], [], neardup._rare
+
+    def watched(sets):
+        found = plain(sets)
+        large.append(sets.count())
+        rows.append(found.groupBy("key").agg(F.count_if("low").alias("low"), F.count(F.lit(1)).alias("n")).where("low > 0").agg(F.sum("n"), F.max("n")).first())
+        return found
+
+    monkeypatch.setattr(neardup, "_rare", watched)
+    monkeypatch.setattr(neardup, "_cluster_links", lambda many, sets: pytest.fail("compared in blocks"))
+    got = neardup.near_duplicates(docs_frame(spark, texts), "id", "body").collect()
+    assert sum(x["kept"] for x in got) == len(got) == 1500
+    assert large[0] > 1000 and rows[0][0] <= 60 * large[0] and rows[0][1] < 10
+
+
 def test_block_links_are_exact():
     import pyarrow as pa
 
