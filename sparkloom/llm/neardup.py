@@ -25,6 +25,9 @@ fewer), as 64-bit hashes.  Documents with equal sets form one node.
   components, the groups are joined to clusters, cut into blocks of about ``BLOCK``
   nodes, and pairs of blocks are compared as matrices inside a task that emits no
   more than a spanning set of links.
+* What a key or a component aggregates to is materialised before it is joined
+  back to its rows.  Then both sides of the join come from plain shuffles, and Spark's
+  adaptive execution may deal the rows of one hot key to several tasks.
 * Pairs of buckets and of the index whose sketches agree in under ``agree``
   coordinates (``AGREE`` is five standard deviations under 0.75) are not looked at
   again.  All others, and all pairs of blocks, are confirmed on full sets.
@@ -329,8 +332,8 @@ def _cluster_links(many: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node that isn't its root, from links (a, b), by alternating stars.
 
-    Each step aggregates with partial sums and joins back, so a node with very many
-    links is no hot spot.
+    Each step aggregates with partial sums; joining back, the links of one node (two
+    hashes each, no sets) meet in one task.
     """
     both = F.col("a") != F.col("b")
     e = cut_lineage(links.where(both).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -362,9 +365,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, agree: int = AGRE
     """
     with tidy_shuffles(df.sparkSession):
         base, nodes, roots = _grouped(pick(df, doc_id=id_col, text=text_col), agree)
+        labelled = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        smallest = cut_lineage(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
     filled = base.where("n_shingles > 0")
-    labelled = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(smallest, "root").select("node", "component_id")
     out = filled.select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -383,7 +386,7 @@ def _grouped(plain: DataFrame, agree: int) -> tuple[DataFrame, DataFrame, DataFr
     def met(spread: DataFrame) -> DataFrame:
         """(key, node, low, leader) of rows (key, node, low) whose key has a low node and another."""
         shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("low"), F.col("node"))).alias("leader")).where("n > 1 and leader is not null")
-        return cut_lineage(spread.join(shared, "key").select("key", "node", "low", "leader"))
+        return cut_lineage(spread.join(cut_lineage(shared.select("key", "leader")), "key").select("key", "node", "low", "leader"))
 
     def sets_of(needed: DataFrame) -> DataFrame:
         """(node, shingles) of these nodes, from their texts."""
@@ -407,7 +410,7 @@ def _grouped(plain: DataFrame, agree: int) -> tuple[DataFrame, DataFrame, DataFr
         """(key, node, low, leader, lows, root) of those keys among ``of`` whose members, ``lows`` of them low, aren't all in one component."""
         labelled = of.join(roots, "node", "left").select("key", "node", "low", "leader", F.coalesce("root", "node").alias("root"))
         found = labelled.groupBy("key").agg(F.count_if("low").alias("lows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "lows")
-        return cut_lineage(labelled.join(found, "key"))
+        return cut_lineage(labelled.join(cut_lineage(found), "key"))
 
     def paired(members: DataFrame, roots: DataFrame | None, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Components after the comparisons of these keys, and what is left of keys with many low members."""
