@@ -54,16 +54,25 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     store.delete(p, True)
 
 
-def cut_lineage(df: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
+def tasks_of(df: DataFrame) -> int:
+    """By how many tasks a frame of ``cut_lineage`` is read."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
+def cut_lineage(df: DataFrame, bytes_per_task: int = 8 << 20, tasks: int | None = None) -> DataFrame:
     """Materialise ``df`` in the shared folder, so lost executors cost no recomputation.
 
     It is read back by as many tasks as its bytes ask for, so a small frame doesn't
     make a shuffle file in each of many tasks, and long rows don't meet in one.
+    Each task of the last stage writes a file.  With ``tasks``, where the caller can bound
+    the bytes, there are at most so many, or two for each core if that is more.
     Spark deletes the files when nothing refers to them, if the cluster sets
     ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     spark = df.sparkSession
     shared_folder(spark)
+    if tasks is not None:
+        df = df.coalesce(max(tasks, 2 * spark.sparkContext.defaultParallelism))
     out = df.checkpoint(eager=True)
     store, p = _store(spark, out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
     return out.coalesce(max(1, -(-store.getContentSummary(p).getLength() // bytes_per_task)))

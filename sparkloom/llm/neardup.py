@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh, groups, pick, tidy_shuffles
+from .common import cut_lineage, fresh, groups, pick, tasks_of, tidy_shuffles
 
 SHINGLE = 5
 BINS, BANDS, ROWS = 128, 32, 4
@@ -339,6 +339,7 @@ def components(links: DataFrame) -> DataFrame:
     e = cut_lineage(links.where(both).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
+        before = e  # neither star makes more links than there were
         # large star: everything above a node goes to the least of its neighbourhood
         sym = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -346,7 +347,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: everything below goes there as well
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where(both).distinct()
-        e = cut_lineage(e)
+        e = cut_lineage(e, tasks=tasks_of(before))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -383,10 +384,10 @@ def _grouped(plain: DataFrame, agree: int) -> tuple[DataFrame, DataFrame, DataFr
     nodes = cut_lineage(filled.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch")))
     sketch = nodes.select("node", "sketch")
 
-    def met(spread: DataFrame) -> DataFrame:
-        """(key, node, low, leader) of rows (key, node, low) whose key has a low node and another."""
+    def met(spread: DataFrame, tasks: int) -> DataFrame:
+        """(key, node, low, leader) of rows (key, node, low) whose key has a low node and another; ``tasks`` by the bytes of the rows."""
         shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("low"), F.col("node"))).alias("leader")).where("n > 1 and leader is not null")
-        return cut_lineage(spread.join(cut_lineage(shared.select("key", "leader")), "key").select("key", "node", "low", "leader"))
+        return cut_lineage(spread.join(cut_lineage(shared.select("key", "leader"), tasks=tasks), "key").select("key", "node", "low", "leader"), tasks=tasks)
 
     def sets_of(needed: DataFrame) -> DataFrame:
         """(node, shingles) of these nodes, from their texts."""
@@ -410,7 +411,8 @@ def _grouped(plain: DataFrame, agree: int) -> tuple[DataFrame, DataFrame, DataFr
         """(key, node, low, leader, lows, root) of those keys among ``of`` whose members, ``lows`` of them low, aren't all in one component."""
         labelled = of.join(roots, "node", "left").select("key", "node", "low", "leader", F.coalesce("root", "node").alias("root"))
         found = labelled.groupBy("key").agg(F.count_if("low").alias("lows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "lows")
-        return cut_lineage(labelled.join(cut_lineage(found), "key"))
+        tasks = 2 * tasks_of(of)  # no more rows, a root longer
+        return cut_lineage(labelled.join(cut_lineage(found, tasks=tasks), "key"), tasks=tasks)
 
     def paired(members: DataFrame, roots: DataFrame | None, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Components after the comparisons of these keys, and what is left of keys with many low members."""
@@ -424,10 +426,10 @@ def _grouped(plain: DataFrame, agree: int) -> tuple[DataFrame, DataFrame, DataFr
         return roots, mixed(rest.where(F.col("lows") > SMALL).select("key", "node", "low", "leader"), roots)
 
     # keys are hashes of the band: a bucket of one node is of no interest
-    roots, many = paired(met(nodes.select("node", F.explode("keys").alias("key"), F.lit(True).alias("low"))), None, None)
+    roots, many = paired(met(nodes.select("node", F.explode("keys").alias("key"), F.lit(True).alias("low")), 4 * tasks_of(nodes)), None, None)
     if not many.isEmpty():
         sets = sets_of(many.select("node").distinct())
-        roots, many = paired(mixed(met(_rare(sets)), roots).drop("lows", "root"), roots, sets)
+        roots, many = paired(mixed(met(_rare(sets), 4 * tasks_of(sets)), roots).drop("lows", "root"), roots, sets)
         if not many.isEmpty():
             roots = merged(roots, _cluster_links(many, sets))
     return base.select("doc_id", "n_shingles", "node"), nodes.select("node", "least"), roots

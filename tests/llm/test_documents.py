@@ -478,6 +478,27 @@ def test_near_duplicates_of_a_template_grow_linearly(spark, monkeypatch):
     assert large[0] > 1000 and rows[0][0] <= 60 * large[0] and rows[0][1] < 10
 
 
+def test_steps_of_components_write_few_files(spark):
+    """A step over few links writes as many files as the cores ask for, not one for each shuffle partition."""
+    from pathlib import Path
+
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    links = spark.createDataFrame([(f"{k:03}".encode(), f"{k + 1:03}".encode()) for k in range(120)], "a binary, b binary").checkpoint()
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    old = set(folder.glob("rdd-*"))
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        got = neardup.components(links).collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert {bytes(r["node"]) for r in got} == {f"{k:03}".encode() for k in range(1, 121)} and {bytes(r["root"]) for r in got} == {b"000"}
+    steps = sorted(set(folder.glob("rdd-*")) - old, key=lambda d: int(d.name[4:]))[1:]  # the first holds the links as given
+    assert steps and all(len(list(d.glob("part-*"))) <= 2 * spark.sparkContext.defaultParallelism for d in steps)
+
+
 def test_block_links_are_exact():
     import pyarrow as pa
 
