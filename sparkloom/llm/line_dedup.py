@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, fresh, pick
+from .common import cut_lineage, fresh, pick, tidy_shuffles
 
 DEPTH, SIMILAR, MIN_TEXTS, MIN_TOKENS = 3, 0.75, 10, 3
 #: Lines of so many constant words or more go if so many different texts have them; shorter ones need ``MIN_TEXTS``.
@@ -166,9 +166,12 @@ def _gone_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int) -> Da
     wide = wide.where((F.col("texts") >= _needed(F.col("words"), LIKE, min_texts)) & (F.col("lines") > 1) & F.col("mixed")).select("leaf")
     wanted = legs.join(_growing(wide), "leaf").select(*_LINE).distinct().join(lines.select(*_LINE, "a", "b", "texts", *owner), _LINE)
     wanted = cut_lineage(wanted)
-    holders = wanted.select(F.col("o1").alias("t1"), F.col("o2").alias("t2")).distinct()
-    owners = _perhaps(plain.select("text", *_TEXT), "t1", holders).join(holders.hint("merge"), _TEXT)
-    spelled = _lines(owners.select("text")).select(*_hashes(_LINE, F.col("masked")), "masked").join(wanted.select(*_LINE), _LINE, "left_semi").dropDuplicates(_LINE)
+    # of the texts that own such lines only these lines are shuffled, not the whole texts
+    owned = wanted.select(*_LINE, F.col("o1").alias("t1"), F.col("o2").alias("t2"))
+    key = F.xxhash64("l1", "t1").alias("own")
+    spelled = _lines(_perhaps(plain.select("text", *_TEXT), "t1", owned.select("t1").distinct()))
+    spelled = spelled.select(*_TEXT, *_hashes(_LINE, F.col("masked")), "masked").select("*", key)
+    spelled = _perhaps(spelled, "own", owned.select(key)).join(owned.hint("merge"), [*_LINE, *_TEXT], "left_semi").dropDuplicates(_LINE).select(*_LINE, "masked")
     forms = wanted.join(spelled, _LINE).select(*_LINE, "a", "b", "texts", F.split("masked", " ").alias("tokens"))
     grouped = cut_lineage(_templates(cut_lineage(forms), min_texts))
 
@@ -210,14 +213,16 @@ def dedup_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_
     rows count as one text.  An empty table gives no rows.
     """
     plain = pick(df, doc_id=id_col, text=text_col)
-    joined, kept, drop = _apply(plain, "text", _gone_lines(plain, "doc_id", "text", min_texts))
+    with tidy_shuffles(df.sparkSession):
+        joined, kept, drop = _apply(plain, "text", _gone_lines(plain, "doc_id", "text", min_texts))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return joined.select("doc_id", n.alias("n_lines"), F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
 
 def drop_recurring_lines(df: DataFrame, id_col: str, text_col: str, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``df`` with its texts cut, all other columns as they were; texts of which nothing is left but blank lines are removed with their rows."""
-    joined, kept, drop = _apply(df, text_col, _gone_lines(df, id_col, text_col, min_texts))
+    with tidy_shuffles(df.sparkSession):
+        joined, kept, drop = _apply(df, text_col, _gone_lines(df, id_col, text_col, min_texts))
     cut = joined.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns], drop)
     return cut.where(drop.isNull() | F.col(f"`{text_col}`").rlike("\\S")).drop(drop)
 

@@ -370,6 +370,24 @@ def test_line_dedup_of_stamps(spark):
     assert kept_texts(spark, texts) == want
 
 
+def test_line_dedup_leaves_no_shuffle_files(spark):
+    """What a materialised step has shuffled is deleted, not kept until the driver collects garbage."""
+    import time
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(k).getName() for k in range(files.size())) if f.startswith("shuffle_")}
+
+    old = shuffled()
+    out = line_dedup.dedup_lines(docs_frame(spark, lines_fixture()), "id", "body")
+    for _ in range(20):
+        if not shuffled() - old:
+            break
+        time.sleep(0.25)
+    assert not shuffled() - old
+    assert out.count() == len(lines_fixture())
+
+
 # ---- near-duplicates
 
 
